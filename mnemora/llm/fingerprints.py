@@ -19,7 +19,7 @@ from .common import texts
 
 #: Ids per block. A block is the unit in which neighbouring documents meet, so it stays small whatever the table's size.
 BLOCK = 256
-_LEAST = F.lit(-(2**62))
+_LEAST = -(2**62)
 
 
 def canonical(text: Column) -> Column:
@@ -60,7 +60,7 @@ def _marked(digest: Column, place: Column) -> Column:
 
 
 def _blocked(docs: DataFrame, block: int) -> DataFrame:
-    at = F.coalesce(F.floor(F.col("doc_id") / block), _LEAST)
+    at = F.coalesce(F.floor(F.col("doc_id") / block), F.lit(_LEAST))
     return docs.select(at.alias("block"), "doc_id", "text").repartition("block")
 
 
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _next_blocks(docs: DataFrame, block: int) -> DataFrame:
     """block, next_block: the next lower block that has rows; after the lowest comes the highest. Two levels, so that the only
     window over everything sees one row for each 65,536 blocks."""
-    blocks = docs.select(F.coalesce(F.floor(F.col("doc_id") / block), _LEAST).alias("block")).distinct().withColumn("top", F.floor(F.col("block") / 65536))
+    blocks = docs.select(F.coalesce(F.floor(F.col("doc_id") / block), F.lit(_LEAST)).alias("block")).distinct().withColumn("top", F.floor(F.col("block") / 65536))
     tops = blocks.groupBy("top").agg(F.max("block").alias("high"))
     w = Window.orderBy("top")
     tops = tops.select("top", F.coalesce(F.lag("high").over(w), F.max("high").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
