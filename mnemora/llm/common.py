@@ -40,6 +40,13 @@ def drop_staged(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows, dealt out by another hash of the keys. A table of counts is laid out by the keys that it was counted by; a
+    join on them would then have to take a hot key's rows as one piece. With an exchange of its own on either side, Spark may
+    split them."""
+    return df.repartition(F.hash(F.lit("apart"), *keys))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the whole text (null: empty), under fixed names, so that further columns can't clash."""
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import apart, texts
 
 #: Ids per block. A block is the unit in which neighbouring documents meet, so it stays small whatever the table's size.
 BLOCK = 256
@@ -48,7 +48,7 @@ def collisions(rows: DataFrame, digest: Callable[[Column], Column] = wide_digest
     """
     light = rows.select("block", "key", digest(canonical(F.col("text"))).alias("digest"))
     shared = light.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    lists = light.join(shared, "digest").groupBy("block").agg(F.collect_set("key").alias("keys"))
+    lists = light.join(apart(shared, "digest"), "digest").groupBy("block").agg(F.collect_set("key").alias("keys"))
     again = rows.join(lists, "block").where(F.array_contains("keys", F.col("key"))).select(canonical(F.col("text")).alias("canon"))
     distinct = again.select(digest(F.col("canon")).alias("digest"), "canon").distinct()
     several = distinct.groupBy("digest").agg(F.count("*").alias("n"), F.collect_list(F.sha2("canon", 256)).alias("shas")).where("n > 1")
@@ -107,7 +107,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.select("doc_id", "n_chars", "edited_sha256", *[e for c in ("text", "edited", "next_text") for e in (digest(F.col(f"c_{c}")).alias(f"d_{c}"), F.sha2(f"c_{c}", 256).alias(f"s_{c}"))])
     for c in ("text", "edited", "next_text"):
         mine = clash.select(F.col("digest").alias(f"d_{c}"), F.col("canon_sha").alias(f"s_{c}"), F.col("place").alias(f"p_{c}"))
-        rows = rows.join(mine, [f"d_{c}", f"s_{c}"], "left")
+        rows = rows.join(apart(mine, f"d_{c}"), [f"d_{c}", f"s_{c}"], "left")
     mark = {c: _marked(F.col(f"d_{c}"), F.col(f"p_{c}")) for c in ("text", "edited", "next_text")}
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", mark["text"].alias("fingerprint"), mark["edited"].alias("edited_fingerprint"),

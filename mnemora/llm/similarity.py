@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import drop_staged, mix64, staged, texts
+from .common import apart, mix64, staged, texts
 from .components import components
 
 MEMO = 1 << 19
@@ -164,8 +164,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 part = [s for s in part if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in part], pa.int64()), pa.array([s.view(np.int64) for s in part], pa.list_(pa.int64()))], names=["set_id", "elements"])
 
-    found = docs.join(wanted, ["doc_id", "text_hash"]) if "text_hash" in wanted.columns else docs.join(wanted, "doc_id")
-    return found.select("text").mapInArrow(run, "set_id bigint, elements array<bigint>")
+    return docs.join(wanted, "doc_id").select("text").mapInArrow(run, "set_id bigint, elements array<bigint>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,24 +187,22 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  else the union is too large
     stars = groups.where("least <> set_id").where(fits(F.col("n"), F.col("least_n"))).select(F.col("least").alias("u"), F.col("set_id").alias("v")).distinct()
     stars = staged(stars, "pairs")
+    least = light.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     members = groups.select("set_id").distinct()
-    first = light.join(members, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    first = least.join(members, "set_id").select(F.col("first").alias("doc_id")).distinct()
     sets = staged(_sets(docs, first, words).dropDuplicates(["set_id"]), "elements")
     links = staged(_linked(stars, sets, percent), "links")
     labels = staged(components(links), "labels")
     # Groups whose members are still in several components: compare across components, in both directions of the star's rest.
     placed = groups.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("sig")
-    rest = staged(placed.join(mixed, "sig"), "rest")
+    rest = staged(placed.join(apart(mixed, "sig"), "sig"), "rest")
     a, b = (rest.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "component")]) for x in "ab")
     cross = a.join(b, "sig").where("set_id_a < set_id_b and component_a <> component_b").where(fits(F.col("n_a"), F.col("n_b"))).select(F.col("set_id_a").alias("u"), F.col("set_id_b").alias("v")).distinct()
     more = _linked(cross.join(stars, ["u", "v"], "left_anti"), sets, percent)
     labels = components(links.unionByName(more))
-    least = light.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     joined = labels.join(least, labels["node"] == least["set_id"]).select("set_id", "component", "first")
     roots = joined.groupBy("component").agg(F.min("first").alias("root"))
-    roots = joined.join(roots, "component").select("set_id", "root")
+    roots = joined.join(apart(roots, "component"), "component").select("set_id", "root")
     known = least.join(roots, "set_id", "left").select("set_id", F.coalesce("root", "first").alias("component_id"))
-    for x in (groups, stars, sets, rest):
-        x.unpersist()
-    return light.join(known, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return light.join(apart(known, "set_id"), "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import apart, staged
 
 # Fixed values of the seekable format.
 SKIPPABLE = 0x184D2A5E
@@ -111,7 +111,7 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     p = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), F.coalesce(pages[payload_col].cast("string"), F.lit("")).cast("binary").alias("payload"))
     p = p.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("n_bytes"))
     groups = p.where(F.col("n_bytes") >= least).groupBy("digest", "n_bytes").agg(F.count("*").alias("n"), F.max("page_id").alias("kept")).where("n > 1").drop("n")
-    p = p.join(groups, ["digest", "n_bytes"], "left")
+    p = p.join(apart(groups, "digest"), ["digest", "n_bytes"], "left")
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     return p.select("page_id", "url", "payload", "digest", "n_bytes", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("kept")).alias("refers_to"))
 
