@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, staged, texts
+from .common import apart, mix64, staged, texts
 
 GRAM = 100
 #: Bytes hashed at once; a longer text is hashed alone.
@@ -254,7 +254,7 @@ def repeated(docs: DataFrame, length: int = 400, gram: int = GRAM) -> tuple[Data
     reach = length - gram
     found = staged(_anchored(rows, length, gram), "anchors")
     twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    found = staged(found.join(twice, "key"), "candidates")
+    found = staged(found.join(apart(twice, "key"), "key"), "candidates")
     cells = found.groupBy("key", "snip").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "pos")).alias("at"))
     wanted = cells.groupBy("at.doc_id", "at.mark").agg(F.collect_list(F.struct("key", "snip", "n", "at.pos")).alias("cuts"))
 
@@ -270,7 +270,7 @@ def repeated(docs: DataFrame, length: int = 400, gram: int = GRAM) -> tuple[Data
     same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["mark"] == wanted["mark"])
     snips = rows.join(wanted, same).select("text", "cuts").mapInArrow(cut, "key bigint, snip bigint, n bigint, before binary, after binary")
     matched = _matched(snips.repartition("key").sortWithinPartitions("key"), length, gram)
-    covered = found.join(matched.dropDuplicates(["key", "snip"]), ["key", "snip"])
+    covered = found.join(apart(matched.dropDuplicates(["key", "snip"]), "key", "snip"), ["key", "snip"])
     spans = covered.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct((F.col("pos") - F.col("lo")).alias("start"), (F.col("pos") + F.col("hi")).alias("end")))).alias("spans"))
     return rows, spans
 
