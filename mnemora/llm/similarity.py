@@ -35,6 +35,8 @@ from .components import components
 MEMO = 1 << 19
 #: Sizes within a band differ at most by this factor.
 SPREAD = 1.25
+#: Groups of more members are screened by parity maps, in panels of this many members.
+SMALL, PANEL = 8, 4096
 #: Up to this band limit, parts have three cells and subsets of two; beyond, two cells and subsets of one.
 FINE = 256
 
@@ -154,7 +156,7 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """set_id, elements of the documents in ``wanted`` (doc_id, one per set)."""
+    """set_id, elements and parity map of the documents in ``wanted`` (doc_id, one per set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
@@ -162,9 +164,79 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = [shingles(t) for t in b.column("text").slice(at, 512).to_pylist()]
                 part = [s for s in part if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in part], pa.int64()), pa.array([s.view(np.int64) for s in part], pa.list_(pa.int64()))], names=["set_id", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in part], pa.int64()), pa.array([s.view(np.int64) for s in part], pa.list_(pa.int64())), pa.array([_parity(s) for s in part], pa.binary())], names=["set_id", "elements", "parity"])
+
+    return docs.join(wanted, "doc_id").select("text").mapInArrow(run, "set_id bigint, elements array<bigint>, parity binary")
+
+
+def _screened(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of one group and different components that may be similar, by parity maps: a pair's maps differ in no more bits than
+    its sets differ in elements. All pairs of a group are screened in numpy, and only those that pass leave the task. A group of
+    more than ``PANEL`` members is dealt out by pairs of panels."""
+    panels = F.ceil(F.col("size") / PANEL).cast("int")
+    own = F.pmod(F.xxhash64("set_id"), panels).cast("int")
+    rows = mixed.join(sets.select("set_id", "parity"), "set_id").withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), panels - 1)))
+    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "n", "component", "parity")
+
+    def pairs(ids, sizes, parts, own, maps, crossed):
+        width = min(map(len, maps)) // 8
+        bits = np.stack([_folded(np.frombuffer(x, np.uint64), width) for x in maps])
+        for r in range(len(ids) - 1):
+            rest = slice(r + 1, None)
+            both = sizes[r] + sizes[rest]
+            differ = np.bitwise_count(bits[rest] ^ bits[r]).sum(1, dtype=np.int64)
+            good = (differ * (100 + percent) <= both * (100 - percent)) & (parts[rest] != parts[r])
+            if crossed:
+                good &= own[rest] != own[r]
+            for x in ids[rest][good].tolist():
+                yield min(x, int(ids[r])), max(x, int(ids[r]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, seen = None, [], set()
+
+        def done():  # of the group held
+            if len(held) < 2:
+                return
+            ids, sizes, parts, own = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:4])
+            for p in pairs(ids, sizes, parts, own, [h[4] for h in held], key[1] != key[2]):
+                if p not in seen:
+                    seen.add(p)
+                    yield p
+
+        def out(found):
+            u, v = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for b in batches:
+            found = []
+            for k1, k2, k3, *rest in zip(*(b.column(c).to_pylist() for c in ("sig", "i", "j", "set_id", "n", "component", "own", "parity")), strict=True):
+                if (k1, k2, k3) != key:
+                    found += done()
+                    key, held = (k1, k2, k3), []
+                held.append(rest)
+            if found:
+                yield out(found)
+            if len(seen) > MEMO:
+                seen.clear()
+        if found := list(done()):
+            yield out(found)
+
+    return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "u bigint, v bigint")
+
+
+def _parity(s: np.ndarray) -> bytes:
+    """Of each cell of a map with four to eight cells an element (512 at least), whether the set has an odd number of elements there."""
+    bits = max(512, 1 << (4 * len(s) - 1).bit_length())
+    count = np.bincount((mix64(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
 
-    return docs.join(wanted, "doc_id").select("text").mapInArrow(run, "set_id bigint, elements array<bigint>")
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """The same map with fewer cells."""
+    while len(words) > width:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,32 +247,62 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v")
 
 
-def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: documents link when ``100 * shared >= percent * union`` of their shingle sets."""
+def _fits(a: str, b: str, percent: int):
+    """Whether sets of these sizes can be similar enough at all."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _mixed(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """sig, set_id, n, component: the groups whose members ``links`` leave in several components."""
+    labels = components(links).withColumnRenamed("node", "set_id")
+    placed = groups.join(labels, "set_id", "left").select("sig", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
+    several = placed.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a <> b").select("sig", "size")
+    return staged(placed.join(apart(several, "sig"), "sig"), "mixed")
+
+
+def _central_pairs(mixed: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """(u, v): each node with one centre: of the groups that it shares with nodes of other components, the member with most
+    company over all its groups. A text that many others were made from shares more with each of them than they do."""
+    company = mixed.groupBy("set_id").agg(F.sum("size").alias("company"))
+    known = mixed.join(apart(company, "set_id"), "set_id")
+    centre = known.groupBy("sig").agg(F.max(F.struct("company", "set_id", "component", "n")).alias("c"))
+    pairs = mixed.join(apart(centre, "sig"), "sig").where("component <> c.component").where(_fits("n", "c.n", percent))
+    pairs = pairs.groupBy("set_id", F.col("c.set_id").alias("centre")).agg(F.max("c.company").alias("company"))
+    pairs = pairs.select(F.least("set_id", "centre").alias("u"), F.greatest("set_id", "centre").alias("v"), "set_id", "company").join(done, ["u", "v"], "left_anti")
+    return pairs.groupBy("set_id").agg(F.max(F.struct("company", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
+
+
+def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents link when ``100 * shared >= percent * union`` of their shingle sets.
+
+    First each node is compared with the least node of its groups, then in ``rounds`` rounds with a central one. What is then left
+    in one group but in several components is compared in full, in large groups after a screening of all pairs.
+    """
     docs = texts(docs, id_col, text_col)
     light = staged(_described(docs, words), "sets")
     w = Window.partitionBy("sig").orderBy("set_id")
-    ranked = _signed(docs, words, percent).select("sig", "set_id", "n", F.first("set_id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("least"), F.first("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("least_n"), F.lag("set_id").over(w).alias("before"), F.lead("set_id").over(w).alias("after"))
-    several = F.col("least") != F.col("set_id")
-    opens = F.col("before").isNull() & F.col("after").isNotNull()
-    groups = staged(ranked.where(several | opens).where(F.col("before").isNull() | (F.col("before") != F.col("set_id"))).select("sig", "set_id", "n", "least", "least_n"), "groups")
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  else the union is too large
-    stars = groups.where("least <> set_id").where(fits(F.col("n"), F.col("least_n"))).select(F.col("least").alias("u"), F.col("set_id").alias("v")).distinct()
-    stars = staged(stars, "pairs")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = _signed(docs, words, percent).select("sig", "set_id", "n", F.first("set_id").over(upto).alias("least"), F.first("n").over(upto).alias("least_n"), F.lag("set_id").over(w).alias("before"), F.lead("set_id").over(w).alias("after"))
+    copy, alone = F.col("before").eqNullSafe(F.col("set_id")), F.col("before").isNull() & F.col("after").isNull()
+    groups = staged(ranked.where(~copy & ~alone).select("sig", "set_id", "n", "least", "least_n"), "groups")
+    stars = groups.where("least <> set_id").where(_fits("n", "least_n", percent)).groupBy("set_id").agg(F.min("least").alias("u")).select("u", F.col("set_id").alias("v"))
+    done = stars = staged(stars, "pairs")
     least = light.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"))
-    members = groups.select("set_id").distinct()
-    first = least.join(members, "set_id").select(F.col("first").alias("doc_id")).distinct()
+    first = least.join(groups.select("set_id").distinct(), "set_id").select(F.col("first").alias("doc_id")).distinct()
     sets = staged(_sets(docs, first, words).dropDuplicates(["set_id"]), "elements")
+    groups = groups.select("sig", "set_id", "n")
     links = staged(_linked(stars, sets, percent), "links")
-    labels = staged(components(links), "labels")
-    # Groups whose members are still in several components: compare across components, in both directions of the star's rest.
-    placed = groups.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("sig")
-    rest = staged(placed.join(apart(mixed, "sig"), "sig"), "rest")
-    a, b = (rest.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "component")]) for x in "ab")
-    cross = a.join(b, "sig").where("set_id_a < set_id_b and component_a <> component_b").where(fits(F.col("n_a"), F.col("n_b"))).select(F.col("set_id_a").alias("u"), F.col("set_id_b").alias("v")).distinct()
-    more = _linked(cross.join(stars, ["u", "v"], "left_anti"), sets, percent)
-    labels = components(links.unionByName(more))
+    mixed = _mixed(groups, links)
+    for _ in range(rounds):
+        pairs = staged(_central_pairs(mixed, done, percent), "pairs")
+        done = done.unionByName(pairs)
+        links = links.unionByName(staged(_linked(pairs, sets, percent), "links"))
+        mixed = _mixed(mixed.select("sig", "set_id", "n"), links)
+    small = mixed.where(F.col("size") <= SMALL)
+    a, b = (small.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "component")]) for x in "ab")
+    cross = a.join(b, "sig").where("set_id_a < set_id_b and component_a <> component_b").where(_fits("n_a", "n_b", percent)).select(F.col("set_id_a").alias("u"), F.col("set_id_b").alias("v"))
+    cross = cross.unionByName(_screened(mixed.where(F.col("size") > SMALL), sets, percent)).distinct()
+    labels = components(links.unionByName(_linked(cross.join(done, ["u", "v"], "left_anti"), sets, percent)))
     joined = labels.join(least, labels["node"] == least["set_id"]).select("set_id", "component", "first")
     roots = joined.groupBy("component").agg(F.min("first").alias("root"))
     roots = joined.join(apart(roots, "component"), "component").select("set_id", "root")
