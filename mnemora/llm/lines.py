@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart
+from .common import apart, staged
 
 DEPTH, MIN_DOCS = 6, 10
 _BLANK = r"[\x09\x0B-\x0D\x20]+"
@@ -43,6 +43,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.toDF(*names.values())
     i, t = F.col(names[id_col]), F.col(names[text_col])
     each = docs.select(i.alias("id"), F.xxhash64(t).alias("mark"), F.explode(_keys(F.coalesce(t, F.lit("")), depth)).alias("key"))
+    each = staged(each, "paths")  # parsing costs more than reading this twice
     recurring = each.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs).select("key", "first")
     gone = each.join(apart(recurring, "key"), "key").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "mark").agg(F.collect_set("key").alias("gone"))
     joined = docs.withColumn("mark", F.xxhash64(t)).join(gone.withColumnRenamed("mark", "gone_mark"), i.eqNullSafe(F.col("id")) & (F.col("mark") == F.col("gone_mark")), "left")
