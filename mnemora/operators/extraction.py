@@ -61,23 +61,21 @@ def _object(found: Column) -> Column:
 def sentences(chunked: DataFrame) -> DataFrame:
     """One row per sentence with all that it says and what it inherits."""
     s = chunked.select("*", F.posexplode(text.sentences(F.col("text"))).alias("sent_no", "sent"))
-    s = s.select("*", F.lower("sent").alias("low"), _all(lexicon.PERSON).alias("persons"), _all(lexicon.BODY).alias("bodies"), _all(lexicon.ORGANIZATION).alias("orgs"), _all(lexicon.DATE).alias("dates"))
+    s = s.select("*", F.lower("sent").alias("low"), _all(lexicon.PERSON).alias("persons"), _all(lexicon.BODY).alias("bodies"), _all(lexicon.ORGANIZATION).alias("orgs"), F.filter(F.transform(_all(lexicon.DATE), lambda d: F.struct(d.alias("said"), dates.parse_date(d).alias("iso"))), lambda d: d["iso"].isNotNull()).alias("dates"))
     body, date = F.get("bodies", F.lit(0)), F.get("dates", F.lit(0))
     meets = (F.size("bodies") > 0) & (F.size("dates") > 0) & F.col("sent").rlike(lexicon.MEETING)
-    meeting = F.struct(F.concat(text.display_name(body), F.lit(" meeting on "), date).alias("name"), text.normalize_name(body).alias("key"), dates.parse_date(date).alias("iso"), body.alias("body"), date.alias("date"))
+    meeting = F.struct(F.concat(text.display_name(body), F.lit(" meeting on "), date["said"]).alias("name"), text.normalize_name(body).alias("key"), date["iso"].alias("iso"), body.alias("body"))
     s = s.withColumn("meeting", F.when(meets, meeting))
-    obj = _object(F.regexp_extract("sent", lexicon.DECISION, 2))
-    actor = _actor(_before(lexicon.DECISION))
-    fine = F.col("sent").rlike(lexicon.DECISION) & F.char_length(obj).between(3, 120) & ~F.lower(obj).isin(lexicon.VAGUE) & actor.isNotNull()
-    reason = F.regexp_extract("sent", lexicon.REASON, 1)
-    reason = F.when(F.char_length(reason).between(3, 250), F.regexp_replace(reason, "^[ .;]+|[ .;]+$", ""))
-    s = s.withColumn("decision", F.when(fine, F.struct(obj.alias("name"), F.lower(F.regexp_extract("sent", lexicon.DECISION, 1)).alias("verb"), actor.alias("actor"), date.alias("date"), reason.alias("reason"))))
-    act = F.regexp_replace(F.regexp_extract("sent", f"(?s){lexicon.ACTION}(.*)$", 1), "[ .;]+$", "")
-    due = F.regexp_extract(act, rf"\s+by\s+({lexicon.DATE})\s*$", 1)
-    act = F.when(due != "", F.regexp_replace(act, rf"\s+by\s+{lexicon.DATE}\s*$", "")).otherwise(act)
-    doer = _actor(_before(lexicon.ACTION))
-    fine = F.col("sent").rlike(lexicon.ACTION) & doer.isNotNull() & F.char_length(act).between(3, 200)
-    s = s.withColumn("action", F.when(fine, F.struct(act.alias("name"), doer.alias("actor"), F.when(due != "", due).alias("due"), F.col("low").rlike(r"\b(?:this|the) decision\b|\bto implement\b").alias("follows"))))
+    # Each part is a column of its own first, so that no pattern is matched twice.
+    s = s.withColumns({"_verb": F.lower(F.regexp_extract("sent", lexicon.DECISION, 1)), "_found": F.regexp_extract("sent", lexicon.DECISION, 2), "_ahead": _before(lexicon.DECISION), "_why": F.regexp_extract("sent", lexicon.REASON, 1), "_act": F.regexp_replace(F.regexp_extract("sent", f"(?s){lexicon.ACTION}(.*)$", 1), "[ .;]+$", ""), "_lead": _before(lexicon.ACTION)})
+    s = s.withColumns({"_obj": _object(F.col("_found")), "_actor": _actor(F.col("_ahead")), "_doer": _actor(F.col("_lead")), "_due": F.regexp_extract("_act", rf"\s+by\s+({lexicon.DATE})\s*$", 1)})
+    fine = (F.col("_verb") != "") & F.char_length("_obj").between(3, 120) & ~F.lower("_obj").isin(lexicon.VAGUE) & F.col("_actor").isNotNull()
+    reason = F.when(F.char_length("_why").between(3, 250), F.regexp_replace("_why", "^[ .;]+|[ .;]+$", ""))
+    s = s.withColumn("decision", F.when(fine, F.struct(F.col("_obj").alias("name"), F.col("_verb").alias("verb"), F.col("_actor").alias("actor"), date["iso"].alias("date"), reason.alias("reason"))))
+    act = F.when(F.col("_due") != "", F.regexp_replace("_act", rf"\s+by\s+{lexicon.DATE}\s*$", "")).otherwise(F.col("_act"))
+    fine = F.col("_doer").isNotNull() & F.char_length(act).between(3, 200)
+    s = s.withColumn("action", F.when(fine, F.struct(act.alias("name"), F.col("_doer").alias("actor"), F.get(F.transform(F.filter(F.array("_due"), lambda d: d != ""), dates.parse_date), F.lit(0)).alias("due"), F.col("low").rlike(r"\b(?:this|the) decision\b|\bto implement\b").alias("follows"))))
+    s = s.drop("_verb", "_found", "_ahead", "_why", "_act", "_lead", "_obj", "_actor", "_doer", "_due")
     w = Window.partitionBy("document_id", "chunk_id").orderBy("sent_no").rowsBetween(Window.unboundedPreceding, 0)
     return s.select("*", F.last("meeting", True).over(w).alias("last_meeting"), F.collect_list("meeting").over(w).alias("meetings"), F.last("decision.name", True).over(w).alias("last_decision"))
 
@@ -101,15 +99,14 @@ def statements(said: DataFrame) -> DataFrame:
     relation = F.try_element_at(F.create_map(*[F.lit(x) for kv in lexicon.VERB_RELATION.items() for x in kv]), c("decision.verb"))
     outcome = c("decision").isNotNull() & (c("decision.verb") != "proposed")
     own = text.normalize_name(c("decision.actor.name"))
-    iso = dates.parse_date(c("decision.date"))
-    at = F.when(c("decision.date").isNotNull(), F.try_element_at(F.filter("meetings", lambda m: (m["key"] == own) & m["iso"].eqNullSafe(iso)), F.lit(-1))["name"]).when(last["key"] == own, last["name"])
+    at = F.when(c("decision.date").isNotNull(), F.try_element_at(F.filter("meetings", lambda m: (m["key"] == own) & (m["iso"] == c("decision.date"))), F.lit(-1))["name"]).when(last["key"] == own, last["name"])
     action = _entity(c("action.name"), "ACTION")
     none = "array<struct<src:struct<name:string,type:string>,relation:string,dst:struct<name:string,type:string>,date:string>>"
     part = F.flatten(F.transform("bodies", lambda b: F.transform(F.filter("orgs", lambda o: F.regexp(F.regexp_replace(c("sent"), r"\s+", " "), F.concat(F.lit(r"\Q"), b, F.lit(r"\E of \Q"), o, F.lit(r"\E")))), lambda o: F.struct(F.struct(b.alias("name"), _body_type(b).alias("type")).alias("src"), F.lit("PART_OF").alias("relation"), F.struct(o.alias("name"), F.lit("ORGANIZATION").alias("type")).alias("dst"), F.lit(None).cast("string").alias("date")))))
     attended = F.when(last.isNotNull() & c("low").rlike(r"\b(?:attended|attendees|present|participated)\b"), F.transform("persons", lambda p: F.struct(F.struct(p.alias("name"), F.lit("PERSON").alias("type")).alias("src"), F.lit("ATTENDED").alias("relation"), F.struct(last["name"].alias("name"), F.lit("MEETING").alias("type")).alias("dst"), F.lit(None).cast("string").alias("date")))).otherwise(F.array().cast(none))
     found = F.concat(
         part.cast(none),
-        _relation(meeting, "HELD_ON", _entity(c("meeting.date"), "DATE"), c("meeting").isNotNull()),
+        _relation(meeting, "HELD_ON", _entity(c("meeting.iso"), "DATE"), c("meeting").isNotNull()),
         _relation(_entity(c("meeting.body"), _body_type(c("meeting.body"))), "CONVENED", meeting, c("meeting").isNotNull()),
         _relation(_entity(person0, "PERSON"), "CHAIRED", _entity(last["name"], "MEETING"), last.isNotNull() & person0.isNotNull() & F.contains("low", F.lit("chaired"))),
         attended.cast(none),
@@ -129,15 +126,19 @@ def _provenance() -> Column:
     return F.struct("document_id", "filename", "page", "chunk_id", F.col("sent").alias("evidence"), F.lit("rules").alias("mode"))
 
 
+def _id(kind: Column, name: Column) -> Column:
+    """A node's id; dates are named by their ISO form here."""
+    return F.when(kind == "DATE", F.concat(F.lit("DATE:"), name)).otherwise(F.concat(kind, F.lit(":"), text.normalize_name(name, kind)))
+
+
 def mentions(said: DataFrame) -> DataFrame:
     """One row per entity that a sentence names: prov, name, type, grounded in its chunk."""
     each = lambda col, kind: F.transform(col, lambda x: F.struct(x.alias("name"), (F.lit(kind) if isinstance(kind, str) else kind(x)).alias("type")))
     some = lambda x, kind: F.when(x.isNotNull(), F.array(F.struct(x.alias("name"), F.lit(kind).alias("type")))).otherwise(F.array().cast("array<struct<name:string,type:string>>"))
-    found = F.concat(each("persons", "PERSON"), each("bodies", _body_type), each("orgs", "ORGANIZATION"), each("dates", "DATE"), some(F.col("meeting.name"), "MEETING"), some(F.col("decision.name"), "DECISION"), some(F.col("decision.reason"), "REASON"), some(F.col("action.name"), "ACTION"))
+    found = F.concat(each("persons", "PERSON"), each("bodies", _body_type), each("orgs", "ORGANIZATION"), each(F.transform("dates", lambda d: d["iso"]), "DATE"), each(F.array_compact(F.array("action.due")), "DATE"), some(F.col("meeting.name"), "MEETING"), some(F.col("decision.name"), "DECISION"), some(F.col("decision.reason"), "REASON"), some(F.col("action.name"), "ACTION"))
     rows = said.select(_provenance().alias("prov"), "text", "sent_no", F.posexplode(found).alias("at", "e")).select("prov", "text", "sent_no", "at", "e.name", "e.type")
-    iso = F.when(F.col("type") == "DATE", dates.parse_date(F.col("name")))
-    grounded = F.when(F.col("type") == "DATE", iso.isNotNull()).otherwise(text.text_supports(F.col("name"), F.col("text")))
-    return rows.where(grounded).withColumn("date_iso", iso).withColumn("id", text.entity_id(F.col("type"), F.col("name"), iso))
+    grounded = (F.col("type") == "DATE") | text.text_supports(F.col("name"), F.col("text"))
+    return rows.where(grounded).withColumn("date_iso", F.when(F.col("type") == "DATE", F.col("name"))).withColumn("id", _id(F.col("type"), F.col("name")))
 
 
 def extract(documents: DataFrame, limit: int = 1500) -> tuple[DataFrame, DataFrame]:
@@ -152,8 +153,8 @@ def extract(documents: DataFrame, limit: int = 1500) -> tuple[DataFrame, DataFra
         F.max_by("shown", F.struct(F.char_length("shown"), "shown")).alias("name"), F.array_sort(F.collect_set("shown")).alias("aliases"), F.max("date_iso").alias("date_iso"), F.lit(None).cast("string").alias("description"),
         F.lit(False).alias("source_document"), F.array_sort(F.collect_set("prov")).alias("provenance"),
     )
-    end = lambda x: text.entity_id(F.col(f"{x}.type"), F.col(f"{x}.name"), F.when(F.col(f"{x}.type") == "DATE", dates.parse_date(F.col(f"{x}.name"))))
-    facts = statements(said).select(end("src").alias("source_id"), end("dst").alias("target_id"), "relation", dates.parse_date(F.col("date")).alias("date_iso"), "prov").where("source_id <> target_id")
+    end = lambda x: _id(F.col(f"{x}.type"), F.col(f"{x}.name"))
+    facts = statements(said).select(end("src").alias("source_id"), end("dst").alias("target_id"), "relation", F.col("date").alias("date_iso"), "prov").where("source_id <> target_id")
     facts = facts.groupBy("source_id", "target_id", "relation", "date_iso").agg(F.array_sort(F.collect_set("prov")).alias("provenance"))
     known = nodes.select("id")
     facts = facts.join(known.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(known.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
