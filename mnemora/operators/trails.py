@@ -110,6 +110,6 @@ def between(own: DataFrame, start: str, end: str, kinds: tuple[str, ...] = ("PRO
     """decision_id, decision of ``steps`` with a step of these kinds whose whole span lies between two partial dates."""
     from ..functions import dates
 
-    if start > end and not end.startswith(start):
+    if start > end and not start.startswith(end):
         raise ValueError("the range ends before it starts")
     return own.where(F.col("kind").isin(list(kinds)) & dates.within(F.col("date_iso"), dates.span_start(F.lit(start)), dates.span_end(F.lit(end)))).select("decision_id", "decision").distinct()
