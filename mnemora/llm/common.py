@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,6 +27,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files of the steps before go when the driver's collectors find that nothing refers to them any more.
+    gc.collect()
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._mnemora_path = path
     return out

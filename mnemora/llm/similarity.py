@@ -289,7 +289,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     done = stars = staged(stars, "pairs")
     least = light.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     first = least.join(groups.select("set_id").distinct(), "set_id").select(F.col("first").alias("doc_id")).distinct()
-    sets = staged(_sets(docs, first, words).dropDuplicates(["set_id"]), "elements")
+    sets = staged(_sets(docs, first, words), "elements")  # twice only for equal rows, which does no harm
     groups = groups.select("sig", "set_id", "n")
     links = staged(_linked(stars, sets, percent), "links")
     mixed = _mixed(groups, links)
