@@ -132,6 +132,7 @@ class Codec:
         return self.lib.decode(many) if many else []
 
 
+_ARROW = {"array<int>": pa.list_(pa.int32()), "bigint": pa.int64(), "string": pa.string()}
 #: Texts encoded at once; their ids are Python objects meanwhile.
 GROUP = 128
 
@@ -142,6 +143,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     with open(model_path, "rb") as f:
         model = f.read()
     names = [x.split()[0] for x in schema.split(", ")]
+    arrow = [_ARROW[x.split()[1]] for x in schema.split(", ")]
     finish = finish or (lambda ids, starts, ends, decoded: (ids, starts, ends, decoded))
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -153,7 +155,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 found = codec.encode(part.column("text").to_pylist())
                 back = codec.decode([x[0] for x in found])
                 rows = [finish(*x, d) for x, d in zip(found, back, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(list(c)) for c in zip(*rows, strict=True))], names=["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True))], names=["doc_id", *names])
 
     return texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {id_type}, {schema}")
 
