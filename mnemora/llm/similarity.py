@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import apart, mix64, staged, texts
+from .common import apart, drop_staged, mix64, staged, texts
 from .components import components
 
 MEMO = 1 << 19
@@ -290,19 +290,24 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     least = light.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     first = least.join(groups.select("set_id").distinct(), "set_id").select(F.col("first").alias("doc_id")).distinct()
     sets = staged(_sets(docs, first, words), "elements")  # twice only for equal rows, which does no harm
-    groups = groups.select("sig", "set_id", "n")
     links = staged(_linked(stars, sets, percent), "links")
-    mixed = _mixed(groups, links)
+    mixed = _mixed(groups.select("sig", "set_id", "n"), links)
+    drop_staged(groups)
     for _ in range(rounds):
         pairs = staged(_central_pairs(mixed, done, percent), "pairs")
         done = done.unionByName(pairs)
         links = links.unionByName(staged(_linked(pairs, sets, percent), "links"))
-        mixed = _mixed(mixed.select("sig", "set_id", "n"), links)
+        before, mixed = mixed, _mixed(mixed.select("sig", "set_id", "n"), links)
+        drop_staged(before)
     small = mixed.where(F.col("size") <= SMALL)
     a, b = (small.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "component")]) for x in "ab")
     cross = a.join(b, "sig").where("set_id_a < set_id_b and component_a <> component_b").where(_fits("n_a", "n_b", percent)).select(F.col("set_id_a").alias("u"), F.col("set_id_b").alias("v"))
     cross = cross.unionByName(_screened(mixed.where(F.col("size") > SMALL), sets, percent)).distinct()
-    labels = components(links.unionByName(_linked(cross.join(done, ["u", "v"], "left_anti"), sets, percent)))
+    cross = staged(cross.join(done, ["u", "v"], "left_anti"), "pairs")  # screening's shuffles go before the sets move
+    drop_staged(mixed)
+    links = staged(links.unionByName(_linked(cross, sets, percent)), "links")
+    drop_staged(sets)
+    labels = components(links)
     joined = labels.join(least, labels["node"] == least["set_id"]).select("set_id", "component", "first")
     roots = joined.groupBy("component").agg(F.min("first").alias("root"))
     roots = joined.join(apart(roots, "component"), "component").select("set_id", "root")
