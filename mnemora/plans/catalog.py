@@ -173,12 +173,12 @@ def within_two_steps(spark, sf_dir):
     return graph.reach(e, spark.createDataFrame([("r0",)], "node string"), 2)
 
 
-@query("""SELECT p_partkey AS id, p_name AS name, (2 * (contains(lower(p_name), '1')::INT + contains(lower(p_name), '2')::INT) + contains(lower(p_type), '1')::INT + contains(lower(p_type), '2')::INT + 2 * contains(lower(p_name), 'type')::INT + contains(lower(p_type), 'type')::INT)::INT AS score
+@query("""SELECT p_partkey AS id, p_name AS name, (2 * (contains(lower(p_name), 'ring')::INT + contains(lower(p_name), 'small')::INT) + contains(lower(p_type), 'ring')::INT + contains(lower(p_type), 'small')::INT + 2 * contains(lower(p_name), 'economy')::INT + contains(lower(p_type), 'economy')::INT)::INT AS score
 FROM part WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 50""")
 def entity_relevance(spark, sf_dir):
     """Entities by words in name and type."""
     e = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("entity_type"))
-    return search.score_entities(e, "1 2 type", 50).select("id", "name", "score")
+    return search.score_entities(e, "ring small economy", 50).select("id", "name", "score")
 
 
 @query("SELECT conv_id, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, count(*)::BIGINT AS n_turns, max(length(text))::INT AS longest FROM conversations GROUP BY conv_id")
