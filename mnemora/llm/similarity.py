@@ -239,6 +239,23 @@ def _folded(words: np.ndarray, width: int) -> np.ndarray:
     return words
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those (u, v) of ``pairs`` (u, v, nu, nv) that may be similar by their parity maps, which move in place of the elements."""
+    one, two = (sets.select(F.col("set_id").alias(x), F.col("parity").alias(f"p{x}")) for x in "uv")
+    both = pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "pu", "pv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for nu, nv, pu, pv in zip(*(b.column(c).to_pylist() for c in ("nu", "nv", "pu", "pv")), strict=True):
+                width = min(len(pu), len(pv)) // 8
+                x, y = (_folded(np.frombuffer(p, np.uint64), width) for p in (pu, pv))
+                good.append(int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) * (100 + percent) <= (nu + nv) * (100 - percent))
+            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, "u bigint, v bigint")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those (u, v) of ``pairs`` whose sets are similar enough, exactly."""
     one, two = sets.select(F.col("set_id").alias("u"), F.col("elements").alias("su")), sets.select(F.col("set_id").alias("v"), F.col("elements").alias("sv"))
@@ -276,7 +293,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """doc_id, n_shingles, component_id: documents link when ``100 * shared >= percent * union`` of their shingle sets.
 
     First each node is compared with the least node of its groups, then in ``rounds`` rounds with a central one. What is then left
-    in one group but in several components is compared in full, in large groups after a screening of all pairs.
+    in one group but in several components is screened by parity maps, and what passes is compared in full.
     """
     docs = texts(docs, id_col, text_col)
     light = staged(_described(docs, words), "sets")
@@ -301,8 +318,8 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         drop_staged(before)
     small = mixed.where(F.col("size") <= SMALL)
     a, b = (small.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "component")]) for x in "ab")
-    cross = a.join(b, "sig").where("set_id_a < set_id_b and component_a <> component_b").where(_fits("n_a", "n_b", percent)).select(F.col("set_id_a").alias("u"), F.col("set_id_b").alias("v"))
-    cross = cross.unionByName(_screened(mixed.where(F.col("size") > SMALL), sets, percent)).distinct()
+    cross = a.join(b, "sig").where("set_id_a < set_id_b and component_a <> component_b").where(_fits("n_a", "n_b", percent)).select(F.col("set_id_a").alias("u"), F.col("set_id_b").alias("v"), F.col("n_a").alias("nu"), F.col("n_b").alias("nv"))
+    cross = _possible(cross.distinct(), sets, percent).unionByName(_screened(mixed.where(F.col("size") > SMALL), sets, percent)).distinct()
     cross = staged(cross.join(done, ["u", "v"], "left_anti"), "pairs")  # screening's shuffles go before the sets move
     drop_staged(mixed)
     links = staged(links.unionByName(_linked(cross, sets, percent)), "links")
