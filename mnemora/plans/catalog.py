@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, records, text
-from ..operators import graph, search, trails
+from ..operators import graph, merging, search, trails
 from .views import record, table
 
 QUERIES: dict = {}
@@ -181,6 +181,74 @@ def entity_relevance(spark, sf_dir):
     return search.score_entities(e, "ring small economy", 50).select("id", "name", "score")
 
 
+def _entities(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("entity_type"))
+
+
+def _decisions(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("description"), F.lit(None).cast("string").alias("reason"), F.date_format("o_orderdate", "yyyy-MM").alias("meeting"))
+
+
+@query("""
+WITH d AS (SELECT 'document' AS kind, doc_id AS id, source AS label FROM documents WHERE contains(lower(text), 'ring') OR contains(lower(source), 'ring') OR contains(lower(lang), 'ring') ORDER BY id DESC LIMIT 50),
+e AS (SELECT 'entity' AS kind, p_partkey AS id, p_name AS label FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring') ORDER BY id DESC LIMIT 50),
+o AS (SELECT 'decision' AS kind, o_orderkey AS id, o_orderpriority AS label FROM orders WHERE contains(lower(o_orderpriority), 'ring') ORDER BY id DESC LIMIT 50)
+SELECT * FROM d UNION ALL SELECT * FROM e UNION ALL SELECT * FROM o""")
+def all_search(spark, sf_dir):
+    """Keyword search over documents, entities and decisions, each with its limit."""
+    return search.search_all(_docs(spark, sf_dir), _entities(spark, sf_dir), _decisions(spark, sf_dir), "ring", 50)
+
+
+@query("SELECT o_orderkey AS id, (2 * contains(lower(o_orderpriority), 'urgent')::INT + contains(strftime(o_orderdate, '%Y-%m'), '1995')::INT)::INT AS score FROM orders WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 50")
+def decision_relevance(spark, sf_dir):
+    """Decisions by words in title, description, reason and meeting; repeated words count twice."""
+    return search.score_decisions(_decisions(spark, sf_dir).withColumn("description", F.lit("")), "Urgent urgent 1995", 50).select("id", "score")
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS id, s_name AS source_entity, p_brand AS target_entity FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE contains(lower(p_brand), '#12') OR contains(lower(s_name), '#12') ORDER BY id DESC LIMIT 200")
+def relationships_by_name(spark, sf_dir):
+    """Relationships with a substring within either end."""
+    s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    rel = table(spark, sf_dir, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    rel = rel.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("s_name").alias("source_entity"), F.col("p_brand").alias("target_entity"))
+    return search.relationships_of(rel, "#12", 200)
+
+
+@query("SELECT DISTINCT conv_id::VARCHAR AS source, regexp_replace(role, '\\s+', '_', 'g') AS target FROM conversations")
+def document_topology(spark, sf_dir):
+    """Documents and the entities in them as a bipartite graph."""
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("name")).agg(F.collect_set("role").alias("entities"))
+    return graph.topology(c)
+
+
+@query("SELECT 'in' AS direction, 'JUSTIFIED_BY' AS relation, 'DECISION:' || o_orderkey AS neighbor_id, 'DECISION' AS type FROM orders WHERE o_orderpriority = '1-URGENT'")
+def reason_neighbors(spark, sf_dir):
+    """All decisions that one reason justifies."""
+    return graph.neighbors(*record(spark, sf_dir), "REASON:1-URGENT", "JUSTIFIED_BY").select("direction", "relation", "neighbor_id", "type")
+
+
+@query("""
+WITH e AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)
+SELECT min([x.a, x.b, y.b, z.b, w.b]) AS path FROM u x JOIN u y ON x.b = y.a JOIN u z ON y.b = z.a JOIN u w ON z.b = w.a
+WHERE x.a = 'c1' AND w.b = (SELECT 'c' || min(c_custkey) FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = (SELECT n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 1) AND c_nationkey <> (SELECT c_nationkey FROM customer WHERE c_custkey = 1))""")
+def shortest_path(spark, sf_dir):
+    """The least shortest path from a customer to the first customer of another nation in the same region."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    own = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey")
+    one = own.where("c_custkey = 1").select(F.col("c_nationkey").alias("n1"), F.col("n_regionkey").alias("r1"))
+    to = own.join(F.broadcast(one), F.col("n_regionkey") == F.col("r1")).where("c_nationkey <> n1").agg(F.min("c_custkey")).first()[0]
+    e = c.select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat(F.lit("n"), "c_nationkey").alias("b")).union(n.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")))
+    e = e.union(e.select("b", "a")).distinct()
+    return spark.createDataFrame([(graph.find_path(e, "c1", f"c{to}"),)], "path array<string>")
+
+
+@query()
+def close_names(spark, sf_dir):
+    """Parts whose names are nearly those of earlier ones of the same type."""
+    p = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("k"))
+    return merging.remap(p.select(F.format_string("PART:%010d", "k").alias("id"), F.lit("PART").alias("type"), "name", F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("date_iso")))
+
+
 @query("SELECT conv_id, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, count(*)::BIGINT AS n_turns, max(length(text))::INT AS longest FROM conversations GROUP BY conv_id")
 def conversation_pages(spark, sf_dir):
     """Turns gathered as the pages of a document."""
