@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import extraction, merging
 
 
 def with_meeting_dates(nodes: DataFrame, facts: DataFrame) -> DataFrame:
@@ -36,6 +37,12 @@ def build(nodes: DataFrame, facts: DataFrame, documents: bool = True) -> tuple[D
     return with_documents(nodes, facts) if documents else (nodes, facts)
 
 
+def from_documents(documents: DataFrame, limit: int = 1500) -> tuple[DataFrame, DataFrame]:
+    """The graph of documents(document_id, filename, pages, text): extracted, entities of close names merged, dates and documents
+    added."""
+    return build(*merging.merge_close(*extraction.extract(documents, limit)))
+
+
 def named_graph(entities: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A graph keyed by names: per name, and per pair of ends, the row with the least id wins; ends that aren't entities are
     ``unknown`` nodes. entities(id, name, entity_type), relationships(id, source_entity, relation, target_entity)."""

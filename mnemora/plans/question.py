@@ -95,3 +95,17 @@ def cited(answered: DataFrame) -> DataFrame:
     rows = answered.select("coverage", "decision_id", "step_no", F.posexplode("evidence").alias("at", "evidence")).where("evidence <> ''")
     first = rows.groupBy("evidence").agg(F.min(F.struct((-F.col("coverage")).alias("c"), "decision_id", "step_no", "at")).alias("k"))
     return first.select(F.concat(F.lit("S"), F.row_number().over(Window.partitionBy().orderBy("k"))).alias("label"), "evidence")
+
+
+def trail_text(answered: DataFrame, status: DataFrame) -> DataFrame:
+    """decision_id, text: the trails of an answer as text, a line per step with the labels of its sentences. ``status``
+    (decision_id, status) comes from ``trails.trails``."""
+    labels = cited(answered)
+    rows = answered.select("decision_id", "decision", "step_no", "date_iso", "kind", "description", F.explode_outer("evidence").alias("evidence")).join(labels, "evidence", "left")
+    no = F.when(F.col("label").isNotNull(), F.substring("label", 2, 9).cast("int"))
+    rows = rows.groupBy("decision_id", "decision", "step_no", "date_iso", "kind", "description").agg(F.array_sort(F.collect_set(no)).alias("refs"))
+    refs = F.when(F.size("refs") > 0, F.concat(F.lit(" ["), F.array_join(F.transform("refs", lambda r: F.concat(F.lit("S"), r)), ","), F.lit("]"))).otherwise("")
+    line = F.concat(F.lit("  "), "step_no", F.lit(". "), F.coalesce("date_iso", F.lit("undated")), F.lit(" | "), "kind", F.lit(" | "), "description", refs)
+    text_ = rows.groupBy("decision_id", "decision").agg(F.array_sort(F.collect_list(F.struct("step_no", line.alias("line")))).alias("lines")).join(status.select("decision_id", "status"), "decision_id")
+    head = F.concat(F.lit("Decision: "), "decision", F.lit(" (status: "), "status", F.lit(")"))
+    return text_.select("decision_id", F.array_join(F.concat(F.array(head), F.transform("lines", lambda x: x["line"])), "\n").alias("text"))

@@ -100,3 +100,20 @@ def test_stream_and_files(spark, tmp_path):
     (tmp_path / "f" / "x.txt").write_bytes("né\xff".encode("latin-1") + b"ok")
     (tmp_path / "f" / "y.bin").write_bytes(b"no")
     assert [r.filename for r in files.load(spark, str(tmp_path / "f")).collect()] == ["x.txt"]
+
+
+def test_trail_text(built):
+    answered = question.answer(*built, "Why was the data science minor approved?")
+    said = [r.text for r in question.trail_text(answered, trails.trails(*built)).collect()]
+    assert said and all(t.startswith("Decision: ") and "(status: " in t.split("\n")[0] and "\n  1. " in t for t in said)
+    assert any("[S1" in t for t in said)
+
+
+def test_graph_from_documents(spark):
+    body = "The Finance Committee met on 2024-03-20. The Finance Committee rejected the purchase of a large green bus because costs exceed the budget."
+    docs = [("A", "a.txt", None, body), ("B", "b.txt", None, body.replace("large green bus", "large greens bus"))]
+    n, f = graph.from_documents(spark.createDataFrame(docs, SCHEMA))
+    one = n.where("type = 'DECISION'").collect()
+    assert [x.name for x in one] == ["purchase of a large green bus"] and one[0].aliases == ["purchase of a large greens bus"]
+    assert {p.document_id for p in one[0].provenance} == {"A", "B"}
+    assert f.where("relation = 'REJECTED_BY'").count() == 1
