@@ -60,13 +60,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHIFTS, _FACTORS = (np.uint64(31), np.uint64(29), np.uint64(32)), (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words (two multiply-xorshift rounds)."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> _SHIFTS[0])
+    x *= _FACTORS[0]
+    x ^= x >> _SHIFTS[1]
+    x *= _FACTORS[1]
+    x ^= x >> _SHIFTS[2]
+    return x
 
 
 def crc_fold(id_col: str, folds: int):

@@ -41,28 +41,33 @@ SMALL, PANEL = 8, 4096
 FINE = 256
 
 
+class Words(dict):
+    """64-bit hashes of words, each worked out once as long as it is remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 11)
+        return h
+
+
 class Shingles:
     """Sorted distinct 64-bit hashes of a text's shingles."""
 
     def __init__(self, words: int):
-        self.words, self.memo = words, {}
+        self.words, self.memo = words, Words()
 
     def __call__(self, text: str) -> np.ndarray:
-        memo, out = self.memo, []
-        for w in text.encode().lower().split():
-            if (h := memo.get(w)) is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                h = memo[w] = xxhash.xxh64_intdigest(w, 11)
-            out.append(h)
-        h = np.array(out, np.uint64)
+        found = text.encode().lower().split()
+        h = np.fromiter(map(self.memo.__getitem__, found), np.uint64, len(found))
         if not len(h):
             return h
         n = min(self.words, len(h))
         acc = mix64(h[: len(h) - n + 1])
         for j in range(1, n):
             acc = mix64(acc * np.uint64(0xC2B2AE3D27D4EB4F) + h[j : len(h) - n + 1 + j])
-        return np.unique(mix64(acc + np.uint64(n)))
+        acc = np.sort(mix64(acc + np.uint64(n)))
+        return acc[np.append(True, acc[1:] != acc[:-1])]
 
 
 def set_id(s: np.ndarray) -> int:
