@@ -22,11 +22,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/mnemora-{app}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back with the same schema."""
+def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back with the same schema. ``codec``: Parquet's
+    compression where it isn't the session's."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     # Shuffle files of the steps before go when the driver's collectors find that nothing refers to them any more.
     gc.collect()
     spark._jvm.System.gc()

@@ -140,7 +140,7 @@ def write(plan: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = B
         if out.directory:
             yield closed(out)
 
-    return staged(plan.mapInArrow(pack, f"bundle binary, directory {DIRECTORY}"), "warc")
+    return staged(plan.mapInArrow(pack, f"bundle binary, directory {DIRECTORY}"), "warc", "none")  # frames are compressed already
 
 
 def read(bundles: DataFrame) -> DataFrame:
