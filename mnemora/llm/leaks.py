@@ -84,10 +84,10 @@ class Matcher:
                 if at is None:
                     at = line.count(" ", 0, end - len(p) + 2) - 1  # words before the hit
                 item, pattern, e = self.items[i]
-                lo = max(0, at - a - e)
-                if (i, lo) in tried:
+                if (i, at - a) in tried:  # both ends of the window follow from it; its clamped start alone doesn't say where it ends
                     continue
-                tried.add((i, lo))
+                tried.add((i, at - a))
+                lo = max(0, at - a - e)
                 found = nearest(pattern, w[lo : at - a + len(pattern) + e], e)
                 if found and (i not in best or found[0] < best[i][0]):
                     best[i] = found[0], lo + found[1]

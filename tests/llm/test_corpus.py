@@ -190,6 +190,29 @@ def test_leaks(spark, docs, edge):
         assert leaks.nearest(p, t, len(p)) == best and leaks.nearest(p, t, best[0] - 1) is None
 
 
+def test_leaks_near_the_start():
+    item = [f"w{i}" for i in range(59)]
+    found = leaks.Matcher([(7, " ".join(item))], 15).find(" ".join(item[45:52] + item))
+    assert found == [(7, 0, 66)]
+    r = random.Random(8)
+    for _ in range(1500):  # few words, so that pieces repeat
+        p = r.choices("abc", k=r.randint(1, 24))
+        t = r.choices("abcd", k=r.randint(0, 12)) + (p[r.randint(0, 8) :] if r.random() < 0.7 else []) + r.choices("abcd", k=r.randint(0, 12))
+        for _ in range(r.randint(0, 3)):
+            if t:
+                t[r.randrange(len(t))] = "d"
+        got = leaks.Matcher([(1, " ".join(p))], 15).find(" ".join(t))
+        row = list(range(len(p) + 1))
+        best = row[-1]
+        for w in t:
+            new = [0]
+            for i, c in enumerate(p):
+                new.append(min(row[i] + (c != w), row[i + 1] + 1, new[i] + 1))
+            row = new
+            best = min(best, row[-1])
+        assert [x[1] for x in got] == ([best] if best <= len(p) * 15 // 100 else [])
+
+
 def test_pieces(spark, docs, edge):
     import sentencepiece
 
