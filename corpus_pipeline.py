@@ -21,9 +21,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return without(docs, toxicity.score(docs, model).where("score >= 0.5"))
 
 
+def _recounted(shorter: DataFrame, docs: DataFrame) -> DataFrame:
+    return shorter.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, but for the first document of each; every document stays."""
-    return lines.drop_recurring(docs).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    return _recounted(lines.drop_recurring(docs), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +37,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, exactly or nearly, go."""
-    return without(docs, leaks.leaks(docs, table(spark, sf_dir, "benchmark")))
+    """Documents that hold a benchmark item, exactly or nearly, go. Of the rest, long lines that are equal in two documents or more
+    stay in the first only: copies are gone by now, and would have left their remains if their lines had gone before."""
+    clean = staged(without(docs, leaks.leaks(docs, table(spark, sf_dir, "benchmark"))), "clean")
+    return _recounted(lines.drop_repeated(clean), docs)
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,18 +4,24 @@ A line's path in the tree is its number of tokens and its first ``depth`` tokens
 so is all that follows the leading tokens. Lines on one path have one template. A template that occurs in ``min_docs``
 documents or more is recurring: its lines go from all documents but the first (the least id), so nothing is lost entirely.
 
+A template needs that many documents because it says little of a line. A long line says enough by itself: ``drop_repeated`` drops
+lines of ``min_words`` tokens or ``min_chars`` characters that are exactly equal in two documents or more, from all but the first.
+
 Defined cases: blank lines are kept and count as no template; null text is one empty line and stays null; of rows with equal
 ids, all with the least id keep their lines; null ids never are the first unless all are null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import apart, staged
 
 DEPTH, MIN_DOCS = 6, 10
+LONG_WORDS, LONG_CHARS = 50, 300
 _BLANK = r"[\x09\x0B-\x0D\x20]+"
 
 
@@ -26,29 +32,42 @@ def template(line: Column, depth: int = DEPTH) -> Column:
     return F.when(F.size(tokens) > 0, F.concat_ws(" ", F.size(tokens).cast("string"), lead)).otherwise("")
 
 
-def _key(line: Column, depth: int) -> Column:
-    path = template(line, depth)
+def long_line(line: Column, min_words: int = LONG_WORDS, min_chars: int = LONG_CHARS) -> Column:
+    """The line itself if it has so many tokens or characters, else empty."""
+    long = (F.char_length(line) >= min_chars) | (F.size(F.filter(F.split(line, _BLANK), lambda t: t != "")) >= min_words)
+    return F.when(long & line.rlike(r"[^\x09\x0B-\x0D\x20]"), line).otherwise("")
+
+
+def _key(path: Column) -> Column:
     return F.struct(F.xxhash64(path).alias("a"), F.xxhash64(F.lit("second seed"), path).alias("b"))
 
 
-def _keys(text: Column, depth: int) -> Column:
-    """The distinct paths of a text's lines that aren't blank, as 128-bit hashes."""
-    paths = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), lambda x: template(x, depth)), lambda p: p != ""))
-    return F.transform(paths, lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit("second seed"), p).alias("b")))
+def _keys(text: Column, path: Callable[[Column], Column]) -> Column:
+    """The distinct paths of a text's lines but empty ones, as 128-bit hashes."""
+    return F.transform(F.array_distinct(F.filter(F.transform(F.split(text, "\n"), path), lambda p: p != "")), _key)
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
     """All rows and columns of ``docs``, the text without recurring lines, and n_lines, n_dropped."""
+    return _dropped(docs, id_col, text_col, lambda x: template(x, depth), min_docs)
+
+
+def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = LONG_WORDS, min_chars: int = LONG_CHARS) -> DataFrame:
+    """The same without the long lines that a document with a lesser id holds exactly."""
+    return _dropped(docs, id_col, text_col, lambda x: long_line(x, min_words, min_chars), 2)
+
+
+def _dropped(docs: DataFrame, id_col: str, text_col: str, path: Callable[[Column], Column], min_docs: int) -> DataFrame:
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     docs = docs.toDF(*names.values())
     i, t = F.col(names[id_col]), F.col(names[text_col])
-    each = docs.select(i.alias("id"), F.xxhash64(t).alias("mark"), F.explode(_keys(F.coalesce(t, F.lit("")), depth)).alias("key"))
+    each = docs.select(i.alias("id"), F.xxhash64(t).alias("mark"), F.explode(_keys(F.coalesce(t, F.lit("")), path)).alias("key"))
     each = staged(each, "paths")  # parsing costs more than reading this twice
     recurring = each.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs).select("key", "first")
     gone = each.join(apart(recurring, "key"), "key").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "mark").agg(F.collect_set("key").alias("gone"))
     joined = docs.withColumn("mark", F.xxhash64(t)).join(gone.withColumnRenamed("mark", "gone_mark"), i.eqNullSafe(F.col("id")) & (F.col("mark") == F.col("gone_mark")), "left")
     lines = F.split(F.coalesce(t, F.lit("")), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("gone"), _key(x, depth)))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("gone"), _key(path(x))))
     joined = joined.withColumn("kept", F.when(F.col("gone").isNull(), lines).otherwise(kept))
     text = F.when(F.col("gone").isNull(), t).otherwise(F.array_join("kept", "\n"))
     return joined.select(*[(text if c == text_col else F.col(n)).alias(c) for c, n in names.items()], F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped"))

@@ -52,6 +52,29 @@ def test_line_templates(spark, edge):
     assert lines.drop_recurring(edge.limit(0)).count() == 0
 
 
+def test_long_lines(spark, edge):
+    long, wide = " ".join(f"w{i}" for i in range(50)), "ab" * 150
+    said = [f"{long}\nshort line", f"other\n{long}\nshort line", f"{long} more\n{wide}", f"{wide}\n{long}x", " " * 400, " " * 400]
+    got = lines.drop_repeated(spark.createDataFrame(rows(said), DOC)).orderBy("doc_id").collect()
+    assert [r.n_dropped for r in got] == [0, 1, 0, 1, 0, 0] and got[1].text == "other\nshort line" and got[3].text == f"{long}x"
+    assert sum(r.text is None for r in lines.drop_repeated(edge).collect()) == 2 and lines.drop_repeated(edge.limit(0)).count() == 0
+
+
+def test_pipeline_long_lines(spark, tmp_path):
+    """A passage of two unlike documents stays in one of them, but a copy of a document goes whole."""
+    import corpus_pipeline
+
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    passage, own = prose(60), [prose(80) for _ in range(3)]
+    said = [f"{own[0]}\n{passage}", f"{own[1]}\n{passage}", f"{own[1]}\n{passage}", own[2]]
+    spark.createDataFrame([(1, "no such item here")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows(said), DOC)
+    for stage in (corpus_pipeline.line_stage, corpus_pipeline.near_stage, corpus_pipeline.leak_stage):
+        docs = stage(spark, docs, str(tmp_path))
+    assert {r.doc_id: (r.text, r.n_chars) for r in docs.collect()} == {0: (said[0], len(said[0])), 1: (own[1], len(own[1])), 3: (own[2], len(own[2]))}
+
+
 def brute_components(texts, words, percent):
     sets = []
     for t in texts:
