@@ -1,8 +1,10 @@
 """Personal data by candidate gradient boosting, in SQL functions only.
 
 Generators propose overlapping spans with high recall: the four base kinds, whose valid matches always stay, and looser forms
-(phones without a plus, spelled-out addresses, spaced or bracketed digits). Boosted trees judge the looser ones by features
-of their form and context; those over the calibrated threshold are added. Trees are trained here, in numpy, on generated
+(phones without a plus, spelled-out addresses; cards with other separators or inside a longer run of digit groups; IPs with
+bracketed or spelled-out dots or inside a longer dotted run, IPv6). Boosted trees, one set for emails and phones and one for IPs
+and cards, judge the looser ones by features of their form and context; those over the calibrated threshold are added, of
+overlapping ones the best. Runs are cut between groups of digits only: a card glued to further digits isn't proposed. Trees are trained here, in numpy, on generated
 examples, and run as one SQL expression. Everything happens within a row: no shuffle.
 
 Positions come from the lengths of what lies between the matches. Defined cases: null text is empty; very long texts are
@@ -11,6 +13,7 @@ searched whole; spans are code points, end exclusive, ordered by start and then
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +33,16 @@ LOOSE = {
     "email": r"(?i)\b[a-z0-9._%+-]{1,64} ?[\[(]? ?\bat\b ?[\])]? ?[a-z0-9-]{1,63}(?: ?[\[(]? ?\bdot\b ?[\])]? ?[a-z0-9-]{2,63}){1,3}\b",
     "phone": r"(?<![0-9.+-])\(?[0-9]{2,4}\)?(?:[\x20.-]\(?[0-9]{2,4}\)?){2,4}(?![0-9.-])",
 }
+# Runs of digit groups, of which every part of so many groups is a candidate.
+RUNS = {
+    "ip": (r"(?<![0-9])[0-9]{1,3}+(?![0-9])(?:(?:\x20?[\[({]\x20?(?:\.|(?i:dot))\x20?[\])}]\x20?|\.|\x20(?i:dot)\x20)[0-9]{1,3}+(?![0-9])){3,}+", 4, 4),
+    "card": (r"(?<![0-9])(?<![0-9][\x20._/\u00a0\u2010-\u2013-])[0-9](?:[\x20._/\u00a0\u2010-\u2013-]{0,3}+[0-9]){11,}+", 1, 19),
+}
+IPV6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}+)?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}+)?)(?![0-9A-Za-z:]|\.[0-9])"
+_ISSUER = r"^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|3[068][0-9]{12}|35[0-9]{14}|6[0-9]{11,18})$"
+_LAYOUT = r"^(?:[0-9]{12,19}|[0-9]{4}(?:[^0-9]+[0-9]{4}){2,3}(?:[^0-9]+[0-9]{1,3})?|[0-9]{4}[^0-9]+[0-9]{6}[^0-9]+[0-9]{4,5})$"
+_PAYS = r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|pay|paid|payment|charge)\b"
+_NETS = r"(?i)\b(?:ip|ipv6|host|server|address|addr|login|client|from|ping|dns|gateway)\b"
 _AROUND = 24
 _CALLS = r"(?i)\b(?:tel|phone|call|fax|mobile|cell|whatsapp|contact|sms)\b"
 _COUNTS = r"(?i)\b(?:id|order|invoice|version|isbn|page|no|token|total|date|ref)\b"
@@ -50,6 +63,33 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, walked).otherwise(empty)
 
 
+def candidates(text: Column, kind: str) -> Column:
+    """array<struct<m, start, end>> of the looser forms of a kind; those of IPs and cards overlap."""
+    if kind in LOOSE:
+        return matches(text, LOOSE[kind])
+    pattern, least, most = RUNS[kind]
+
+    def parts(run: Column) -> Column:
+        def from_group(groups: Column, i: Column) -> Column:
+            first, last = i + (least - 1), F.least(i + (most - 1), F.size(groups) - 1)
+
+            def upto(j: Column) -> Column:
+                start, end = F.get(groups, i)["start"], F.get(groups, j)["end"]
+                return F.struct(F.substring(run["m"], start + 1, end - start).alias("m"), (run["start"] + start).alias("start"), (run["start"] + end).alias("end"))
+
+            return F.transform(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), upto)
+
+        each = lambda groups: F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: from_group(groups, i)))
+        return F.flatten(F.transform(F.array(matches(run["m"], "[0-9]+")), each))  # an array of one: the groups are found once
+
+    found = F.flatten(F.transform(matches(text, pattern), parts))
+    if kind == "card":
+        return F.filter(found, lambda x: F.char_length(_digits(x["m"])).between(12, 19) & luhn(_digits(x["m"])))
+    found = F.filter(found, lambda x: F.forall(F.regexp_extract_all(x["m"], F.lit("[0-9]+"), F.lit(0)), lambda p: p.cast("int") <= 255))
+    groups = lambda x: F.size(F.filter(F.split(x["m"], ":"), lambda p: p != ""))
+    return F.concat(found, F.filter(matches(text, IPV6), lambda x: ~x["m"].contains("::") | groups(x).between(2, 7)))
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -76,7 +116,18 @@ def base_spans(text: Column, kind: str) -> Column:
 FEATURES = ("digits", "length", "gaps", "brackets", "dots", "calls", "counts", "groups", "longest", "is_email", "known_end")
 
 
+NUMBER_FEATURES = ("digits", "length", "gaps", "brackets", "dots", "colons", "pays", "nets", "counts", "groups", "longest", "is_card", "issuer", "layout")
+
+
 def features(m: Column, around: Column, kind: str) -> dict[str, Column]:
+    if kind in RUNS:
+        parts = F.split(m, "[^0-9A-Fa-f]+")
+        return {
+            "digits": F.char_length(_digits(m)), "length": F.char_length(m), "gaps": F.char_length(F.regexp_replace(m, r"[^\x20-]", "")), "brackets": F.char_length(F.regexp_replace(m, r"[^()\[\]{}]", "")),
+            "dots": F.char_length(F.regexp_replace(m, "[^.]", "")), "colons": F.char_length(F.regexp_replace(m, "[^:]", "")), "pays": around.rlike(_PAYS).cast("int"), "nets": around.rlike(_NETS).cast("int"),
+            "counts": around.rlike(_COUNTS).cast("int"), "groups": F.size(parts), "longest": F.array_max(F.transform(parts, lambda x: F.char_length(x))), "is_card": F.lit(int(kind == "card")),
+            "issuer": _digits(m).rlike(_ISSUER).cast("int"), "layout": m.rlike(_LAYOUT).cast("int"),
+        }
     return {
         "digits": F.char_length(_digits(m)), "length": F.char_length(m), "gaps": F.char_length(F.regexp_replace(m, r"[^\x20-]", "")), "brackets": F.char_length(F.regexp_replace(m, r"[^()\[\]]", "")),
         "dots": F.char_length(F.regexp_replace(m, "[^.]", "")), "calls": around.rlike(_CALLS).cast("int"), "counts": around.rlike(_COUNTS).cast("int"), "groups": F.size(F.split(m, "[^0-9]+")),
@@ -119,6 +170,58 @@ def _example(r: np.random.Generator) -> tuple[list[int], int]:
     return x, truth
 
 
+def _number_example(r: np.random.Generator) -> tuple[list[int], int]:
+    """The same for IPs and cards: other ways to write them, parts of longer runs, and numbers and code that only look like them."""
+    import re
+
+    d = lambda n: "".join(map(str, r.integers(0, 10, n)))
+    word = lambda: "".join(r.choice(list("abcdefghilmnoprstu"), r.integers(3, 9)))
+    pick = lambda *x: x[r.integers(len(x))]
+    hexes = lambda: f"{r.integers(0, 65536):x}"
+    octets = lambda: [str(x) for x in r.integers(0, 256, 4)]
+
+    def checked(body: str) -> str:
+        total = sum(int(c) * 2 - 9 * (int(c) > 4) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body)))
+        return body + str(-total % 10)
+
+    def grouped(digits: str, sizes) -> str:
+        sep, out = pick(" ", "-", ".", "/", " - ", "\u00a0"), []
+        for n in sizes:
+            out, digits = [*out, digits[:n]], digits[n:]
+        return sep.join(out)
+
+    card, truth, kind = 0, 1, r.integers(9)
+    ahead, behind = pick("ip", "host", "server", "address", "client", word(), word()), word()
+    if kind < 3:  # a card, perhaps after some other number
+        card, ahead = 1, pick("card", "visa", "pay", "order", "id", "", word(), word())
+        if r.random() < 0.75:
+            m = grouped(checked(pick("4", "51", "52", "54", "55", "22", "27", "60", "65").ljust(2, d(1)) + d(13)), (4, 4, 4, 4))
+        else:
+            m = grouped(checked(pick("34", "37") + d(12)), (4, 6, 5))
+        ahead += pick("", "", f" {d(pick(1, 2, 3))}")
+    elif kind < 5:  # digit groups that pass by chance
+        card, truth, sizes = 1, 0, []
+        while sum(sizes) < 12:
+            sizes.append(pick(1, 2, 3, 4, 5, 6, 7, 8))
+        m = grouped(checked(d(min(19, sum(sizes)) - 1)), sizes)
+        ahead = pick("order", "date", "id", "total", "", word(), word(), "card")
+    elif kind == 5:
+        m = pick("[.]", "(.)", "[dot]", " [.] ", " dot ", "(dot)", "{.}").join(octets())
+    elif kind == 6:  # part of a longer dotted run
+        m, ahead = ".".join(octets()), f"{pick('version', 'section', 'ip', 'host', word())} {r.integers(256, 999)}."
+        truth = int(bool(re.search(_NETS, ahead)))
+    elif kind == 7:
+        m = ":".join(hexes() for _ in range(8)) if r.random() < 0.5 else f"{':'.join(hexes() for _ in range(r.integers(2, 5)))}::{hexes()}"
+    else:
+        truth, m = 0, f"{pick('add', 'a', 'b', 'face', 'dead', 'fade', 'c')}::{pick('add', 'be', 'c', 'ad', 'face', 'feed')}"
+        ahead = pick("call", word(), word())
+    around = f"{word()} {ahead} {m} {behind}"
+    parts = re.split("[^0-9A-Fa-f]+", m)
+    digits = re.sub("[^0-9]", "", m)
+    x = [len(digits), len(m), sum(c in " -" for c in m), sum(c in "()[]{}" for c in m), m.count("."), m.count(":"), int(bool(re.search(_PAYS, around))), int(bool(re.search(_NETS, around))), int(bool(re.search(_COUNTS, around))), len(parts), max(map(len, parts)), card, int(bool(re.search(_ISSUER, digits))), int(bool(re.search(_LAYOUT, m)))]
+    return x, truth
+
+
 def _stump_pair(x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray) -> tuple[int, float] | None:
     """The split (feature, limit) of these rows with the largest gain."""
     best, split = 1e-6, None
@@ -134,11 +237,11 @@ def _stump_pair(x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray) -
 
 
 @lru_cache
-def trained(examples: int = 1600, trees: int = 24, rate: float = 0.3, seed: int = 3) -> tuple[tuple, float]:
+def trained(examples: int = 1600, trees: int = 24, rate: float = 0.3, seed: int = 3, example: Callable = _example) -> tuple[tuple, float]:
     """Trees of depth 2, as ((feature, limit), left, right) with leaves as numbers, and the threshold: the least score at which
     98 % of the held-out half's candidates above it are true."""
     r = np.random.default_rng(seed)
-    data = [_example(r) for _ in range(examples)]
+    data = [example(r) for _ in range(examples)]
     x, y = np.array([a for a, _ in data], float), np.array([b for _, b in data], float)
     half, score, out = examples // 2, np.zeros(examples), []
     train = np.arange(half)
@@ -168,17 +271,22 @@ def trained(examples: int = 1600, trees: int = 24, rate: float = 0.3, seed: int
     return tuple(out), float(score[order[good[-1]]]) if len(good) else float("inf")
 
 
-def boosted(f: dict[str, Column]) -> Column:
-    """The trees' score as a SQL expression."""
+def _trained(kind: str) -> tuple[tuple, float]:
+    return trained(example=_number_example) if kind in RUNS else trained()
+
+
+def boosted(f: dict[str, Column], kind: str) -> Column:
+    """The score of the kind's trees as a SQL expression."""
+    names = NUMBER_FEATURES if kind in RUNS else FEATURES
 
     def case(tree) -> Column:
         if not isinstance(tree, tuple):
             return F.lit(tree)
         (k, limit), low, high = tree
-        return F.when(f[FEATURES[k]] <= limit, case(low)).otherwise(case(high))
+        return F.when(f[names[k]] <= limit, case(low)).otherwise(case(high))
 
     total = F.lit(0.0)
-    for tree in trained()[0]:
+    for tree in _trained(kind)[0]:
         total = total + case(tree)
     return total
 
@@ -190,23 +298,29 @@ def _as_base(n: int, kind: str):
 def _scored(n: int, kind: str):
     def one(x):
         around = F.substring(F.col("text"), F.greatest(F.lit(1), x["start"] + 1 - _AROUND), x["end"] - x["start"] + 2 * _AROUND)
-        return F.struct(x["start"].alias("start"), F.lit(n).alias("kind_no"), F.lit(kind).alias("kind"), x["end"].alias("end"), F.lit(False).alias("base"), boosted(features(x["m"], around, kind)).alias("score"))
+        return F.struct(x["start"].alias("start"), F.lit(n).alias("kind_no"), F.lit(kind).alias("kind"), x["end"].alias("end"), F.lit(False).alias("base"), boosted(features(x["m"], around, kind), kind).alias("score"))
 
     return one
 
 
+def _over(threshold: float):
+    return lambda x: x["score"] >= threshold
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and spans: array<struct<start, kind_no, kind, end, base, score>>, all selected spans in order."""
-    threshold = trained()[1]
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     rows = rows.withColumns({f"base_{k}": base_spans(F.col("text"), k) for k in KINDS})
     rows = rows.withColumn("base", F.concat(*[F.transform(f"base_{k}", _as_base(n, k)) for n, k in enumerate(KINDS)]))
-    added = []
-    for n, k in enumerate(KINDS):
-        if k in LOOSE:
-            some = F.filter(F.transform(matches(F.col("text"), LOOSE[k]), _scored(n, k)), lambda x: x["score"] >= threshold)
-            added.append(F.filter(some, lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))))
-    return rows.select("doc_id", "text", F.array_sort(F.concat("base", *added)).alias("spans"))
+    apart = lambda x, spans: ~F.exists(spans, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+    worth = lambda x: F.struct(x["score"], x["end"] - x["start"], -x["start"])
+    for kinds in (RUNS, LOOSE):  # a phone that is part of a card or an IP isn't one
+        some = [F.filter(F.transform(candidates(F.col("text"), k), _scored(KINDS.index(k), k)), _over(_trained(k)[1])) for k in kinds]
+        rows = rows.withColumn("some", F.filter(F.concat(*some), lambda x: apart(x, F.col("base"))))
+        if kinds is RUNS:
+            rows = rows.withColumn("some", F.filter("some", lambda x: ~F.exists(F.col("some"), lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"]) & (worth(y) > worth(x)))))
+        rows = rows.withColumn("base", F.concat("base", "some"))
+    return rows.select("doc_id", "text", F.array_sort("base").alias("spans"))
 
 
 def redacted(found: DataFrame) -> DataFrame:

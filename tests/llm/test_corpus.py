@@ -297,6 +297,16 @@ def test_private(spark, edge):
     assert private.digests(private.find(edge)).count() == edge.count()
 
 
+def test_private_cards_and_ips(spark):
+    said = ["order 12 4111 1111 1111 1111", "card 4111.1111.1111.1111 ok", "host 192[.]168[.]0[.]1 is up", "server 2001:db8:85a3:0:0:8a2e:370:7334 and fe80:12:9::1a2b.", "date 2024-03-05 12 17 at std::vector add::face", "12:30:45 and 1.5 2.5"]
+    found = private.find(spark.createDataFrame(rows(said), DOC))
+    got = {r.doc_id: [(s.kind, said[r.doc_id][s.start : s.end], s.base) for s in r.spans] for r in found.collect()}
+    assert got[0] == [("card", "4111 1111 1111 1111", False)] and got[1] == [("card", "4111.1111.1111.1111", False)]
+    assert got[2] == [("ip", "192[.]168[.]0[.]1", False)] and got[3] == [("ip", "2001:db8:85a3:0:0:8a2e:370:7334", False), ("ip", "fe80:12:9::1a2b", False)]
+    assert got[4] == [] and got[5] == []
+    assert private.redacted(found).where("doc_id = 0").first().text == "order 12 [card]"
+
+
 def test_private_base(docs):
     luhn = lambda d: sum(int(c) * 2 - 9 * (int(c) > 4) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
