@@ -2,7 +2,8 @@
 
 A line's path in the tree is its number of tokens and its first ``depth`` tokens; tokens with a digit are variable fields, and
 so is all that follows the leading tokens. Lines on one path have one template. A template that occurs in ``min_docs``
-documents or more is recurring: its lines go from all documents but the first (the least id), so nothing is lost entirely.
+documents or more is recurring: its lines go from all documents but the first (the least id). What follows the
+leading tokens isn't compared: a line that differs there from all kept ones goes too, and that text is then in no document.
 
 A template needs that many documents because it says little of a line. A long line says enough by itself: ``drop_repeated`` drops
 lines of ``min_words`` tokens or ``min_chars`` characters that are exactly equal in two documents or more, from all but the first.
