@@ -8,8 +8,10 @@ leading tokens isn't compared: a line that differs there from all kept ones goes
 A template needs that many documents because it says little of a line. A long line says enough by itself: ``drop_repeated`` drops
 lines of ``min_words`` tokens or ``min_chars`` characters that are exactly equal in two documents or more, from all but the first.
 
-Defined cases: blank lines are kept and count as no template; null text is one empty line and stays null; of rows with equal
-ids, all with the least id keep their lines; null ids never are the first unless all are null.
+Defined cases: blank lines are kept and count as no template; null text is one empty line and stays null; rows with equal ids
+are one document, so a template's documents are counted by distinct ids, and all rows with the least id keep their lines; null ids
+count as no document and never are the first; an empty table has no rows; further columns stay as they are. A document's
+lines are looked at a fixed number of times, however many it has.
 """
 
 from __future__ import annotations
@@ -43,11 +45,6 @@ def _key(path: Column) -> Column:
     return F.struct(F.xxhash64(path).alias("a"), F.xxhash64(F.lit("second seed"), path).alias("b"))
 
 
-def _keys(text: Column, path: Callable[[Column], Column]) -> Column:
-    """The distinct paths of a text's lines but empty ones, as 128-bit hashes."""
-    return F.transform(F.array_distinct(F.filter(F.transform(F.split(text, "\n"), path), lambda p: p != "")), _key)
-
-
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
     """All rows and columns of ``docs``, the text without recurring lines, and n_lines, n_dropped."""
     return _dropped(docs, id_col, text_col, lambda x: template(x, depth), min_docs)
@@ -62,16 +59,21 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str, path: Callable[[Column
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     docs = docs.toDF(*names.values())
     i, t = F.col(names[id_col]), F.col(names[text_col])
-    each = docs.select(i.alias("id"), F.xxhash64(t).alias("mark"), F.explode(_keys(F.coalesce(t, F.lit("")), path)).alias("key"))
+    lines = F.split(F.coalesce(t, F.lit("")), "\n")
+    paths = F.transform(lines, lambda x, at: F.struct(at.alias("at"), path(x).alias("path")))
+    keyed = F.transform(F.filter(paths, lambda p: p["path"] != ""), lambda p: F.struct(p["at"].alias("at"), _key(p["path"]).alias("key")))
+    # The text's mark is worked out in a projection of its own: beside explode, it would be once for each line.
+    each = docs.select(i.alias("id"), F.xxhash64(t).alias("mark"), keyed.alias("lines")).select("id", "mark", F.explode("lines").alias("line")).select("id", "mark", "line.at", "line.key")
     each = staged(each, "paths")  # parsing costs more than reading this twice
-    recurring = each.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs).select("key", "first")
-    gone = each.join(apart(recurring, "key"), "key").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "mark").agg(F.collect_set("key").alias("gone"))
+    recurring = each.groupBy("key").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs).select("key", "first")
+    gone = each.join(apart(recurring, "key"), "key").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "mark").agg(F.collect_set("at").alias("gone"))
     joined = docs.withColumn("mark", F.xxhash64(t)).join(gone.withColumnRenamed("mark", "gone_mark"), i.eqNullSafe(F.col("id")) & (F.col("mark") == F.col("gone_mark")), "left")
-    lines = F.split(F.coalesce(t, F.lit("")), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("gone"), _key(path(x))))
-    joined = joined.withColumn("kept", F.when(F.col("gone").isNull(), lines).otherwise(kept))
-    text = F.when(F.col("gone").isNull(), t).otherwise(F.array_join("kept", "\n"))
-    return joined.select(*[(text if c == text_col else F.col(n)).alias(c) for c, n in names.items()], F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped"))
+    # What stays is found by a set difference of places, in one pass; the array of one holds the lines, so that they are split once.
+    stay = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone"))
+    left = F.get(F.transform(F.array(lines), lambda own: F.transform(stay(own), lambda at: F.get(own, at))), F.lit(0))
+    text = F.when(F.col("gone").isNull(), t).otherwise(F.array_join(left, "\n"))
+    n_dropped = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return joined.select(*[(text if c == text_col else F.col(n)).alias(c) for c, n in names.items()], F.size(lines).cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
 
 
 #: What ``drop_recurring`` does to documents(doc_id, text), with the paths themselves as keys.
