@@ -269,6 +269,15 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among ``pairs`` (u, v, nu, nv). Most pairs of a group are unlike, and their elements needn't move: the parity maps
+    are read and compared first, and what passes is a small table before the elements are."""
+    possible = staged(_possible(pairs, sets, percent), "possible")
+    links = staged(_linked(possible, sets, percent), "links")
+    drop_staged(possible)
+    return links
+
+
 def _fits(a: str, b: str, percent: int):
     """Whether sets of these sizes can be similar enough at all."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
@@ -283,22 +292,24 @@ def _mixed(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _central_pairs(mixed: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """(u, v): each node with one centre: of the groups that it shares with nodes of other components, the member with most
+    """(u, v, nu, nv): each node with one centre: of the groups that it shares with nodes of other components, the member with most
     company over all its groups. A text that many others were made from shares more with each of them than they do."""
     company = mixed.groupBy("set_id").agg(F.sum("size").alias("company"))
     known = mixed.join(apart(company, "set_id"), "set_id")
     centre = known.groupBy("sig").agg(F.max(F.struct("company", "set_id", "component", "n")).alias("c"))
     pairs = mixed.join(apart(centre, "sig"), "sig").where("component <> c.component").where(_fits("n", "c.n", percent))
-    pairs = pairs.groupBy("set_id", F.col("c.set_id").alias("centre")).agg(F.max("c.company").alias("company"))
-    pairs = pairs.select(F.least("set_id", "centre").alias("u"), F.greatest("set_id", "centre").alias("v"), "set_id", "company").join(done, ["u", "v"], "left_anti")
-    return pairs.groupBy("set_id").agg(F.max(F.struct("company", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
+    pairs = pairs.groupBy("set_id", "n", F.col("c.set_id").alias("centre"), F.col("c.n").alias("centre_n")).agg(F.max("c.company").alias("company"))
+    first = F.col("set_id") < F.col("centre")
+    sizes = F.when(first, F.col("n")).otherwise(F.col("centre_n")).alias("nu"), F.when(first, F.col("centre_n")).otherwise(F.col("n")).alias("nv")
+    pairs = pairs.select(F.least("set_id", "centre").alias("u"), F.greatest("set_id", "centre").alias("v"), *sizes, "set_id", "company").join(done, ["u", "v"], "left_anti")
+    return pairs.groupBy("set_id").agg(F.max(F.struct("company", "u", "v", "nu", "nv")).alias("p")).select("p.u", "p.v", "p.nu", "p.nv").distinct()
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id: documents link when ``100 * shared >= percent * union`` of their shingle sets.
 
-    First each node is compared with the least node of its groups, then in ``rounds`` rounds with a central one. What is then left
-    in one group but in several components is screened by parity maps, and what passes is compared in full.
+    First each node is compared with the least node of its groups, then in ``rounds`` rounds with a central one, and what is then
+    left in one group but in several components with each other. All pairs are screened by parity maps; what passes is compared in full.
     """
     docs = texts(docs, id_col, text_col)
     light = staged(_described(docs, words), "sets")
@@ -307,18 +318,19 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     ranked = _signed(docs, words, percent).select("sig", "set_id", "n", F.first("set_id").over(upto).alias("least"), F.first("n").over(upto).alias("least_n"), F.lag("set_id").over(w).alias("before"), F.lead("set_id").over(w).alias("after"))
     copy, alone = F.col("before").eqNullSafe(F.col("set_id")), F.col("before").isNull() & F.col("after").isNull()
     groups = staged(ranked.where(~copy & ~alone).select("sig", "set_id", "n", "least", "least_n"), "groups")
-    stars = groups.where("least <> set_id").where(_fits("n", "least_n", percent)).groupBy("set_id").agg(F.min("least").alias("u")).select("u", F.col("set_id").alias("v"))
-    done = stars = staged(stars, "pairs")
+    stars = groups.where("least <> set_id").where(_fits("n", "least_n", percent)).groupBy("set_id", "n").agg(F.min(F.struct("least", "least_n")).alias("p"))
+    stars = staged(stars.select(F.col("p.least").alias("u"), F.col("set_id").alias("v"), F.col("p.least_n").alias("nu"), F.col("n").alias("nv")), "pairs")
+    done = stars.select("u", "v")
     least = light.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     first = least.join(groups.select("set_id").distinct(), "set_id").select(F.col("first").alias("doc_id")).distinct()
     sets = staged(_sets(docs, first, words), "elements")  # twice only for equal rows, which does no harm
-    links = staged(_linked(stars, sets, percent), "links")
+    links = _verified(stars, sets, percent)
     mixed = _mixed(groups.select("sig", "set_id", "n"), links)
     drop_staged(groups)
     for _ in range(rounds):
         pairs = staged(_central_pairs(mixed, done, percent), "pairs")
-        done = done.unionByName(pairs)
-        links = links.unionByName(staged(_linked(pairs, sets, percent), "links"))
+        done = done.unionByName(pairs.select("u", "v"))
+        links = links.unionByName(_verified(pairs, sets, percent))
         before, mixed = mixed, _mixed(mixed.select("sig", "set_id", "n"), links)
         drop_staged(before)
     small = mixed.where(F.col("size") <= SMALL)
