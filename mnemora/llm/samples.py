@@ -1,4 +1,8 @@
-"""Bounded, reproducible training samples."""
+"""Bounded, reproducible training samples.
+
+Defined cases: rows with a null label or id, and labels without a document, aren't used; of the rows with one id, the text with
+the least hash is the one sampled, so that a sample never has more rows than its bound, however often an id is repeated.
+"""
 
 from __future__ import annotations
 
@@ -8,20 +12,29 @@ from pyspark.sql import functions as F
 from .common import crc_fold, texts
 
 
+def _of(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """doc_id, text of the documents with the few ids in ``some``, one row for each."""
+    found = texts(docs).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text")).alias("least"))
+    return found.select("doc_id", "least.text")
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, value: int, folds: int, held: int, most: int) -> DataFrame:
+    """doc_id, text of at most ``most`` documents with this label outside the held-out fold, by the least hash of their ids."""
+    known = labels.select(labels["doc_id"].alias("doc_id"), F.col(label).alias("y"))
+    known = known.where(F.col("doc_id").isNotNull() & (F.col("y") == value) & (crc_fold("doc_id", folds) != held))
+    return _of(docs, known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` (text, label) of each class, from rows whose fold isn't the held-out one. Which rows: those with the
-    least hash of the id. Rows with a null label or id, and labels without a document, aren't used."""
+    """At most ``per_class`` (text, label) of each class."""
     out: list[tuple[str, int]] = []
     for value in (0, 1):
-        some = labels.select(labels["doc_id"].alias("doc_id"), F.col(label).alias("y")).where(F.col("doc_id").isNotNull() & (F.col("y") == value) & (crc_fold("doc_id", folds) != held))
-        some = some.select("doc_id", "y").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        rows = texts(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text").collect()
-        out += [(r["text"], value) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+        rows = labelled_rows(docs, labels, label, value, folds, held, per_class).collect()
+        out += [(r["text"], value) for r in sorted(rows, key=lambda r: r["doc_id"])]
     return out
 
 
-def unlabelled(docs: DataFrame, folds: int, held: int, rows: int) -> list[str]:
-    """At most ``rows`` texts of documents outside the held-out fold, by the least hash of their ids; no label is read."""
-    some = docs.select(docs["doc_id"].alias("doc_id")).where(F.col("doc_id").isNotNull() & (crc_fold("doc_id", folds) != held)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = texts(docs).join(F.broadcast(some.distinct()), "doc_id").collect()
-    return [r["text"] for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
+def unlabelled_rows(docs: DataFrame, folds: int, held: int, most: int) -> DataFrame:
+    """doc_id, text of at most ``most`` documents outside the held-out fold, by the least hash of their ids; no label is read."""
+    some = docs.select(docs["doc_id"].alias("doc_id")).where(F.col("doc_id").isNotNull() & (crc_fold("doc_id", folds) != held))
+    return _of(docs, some.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))

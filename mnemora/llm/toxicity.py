@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_fold, texts
-from .samples import labelled, unlabelled
+from .samples import labelled_rows, unlabelled_rows
 
 BITS = 18
 BEGINNINGS = (4, 5, 7)
@@ -60,12 +60,18 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-class _Rows:
-    """Lists of places as one sparse 0/1 matrix: its products with weights, and with derivatives of the rows."""
+class Rows:
+    """The places of many texts as one sparse 0/1 matrix: its products with weights, and with derivatives of the rows."""
 
-    def __init__(self, rows: list[list[int]]):
-        self.n, self.cols = len(rows), np.array([p for r in rows for p in r], np.int64)
-        self.rows = np.repeat(np.arange(self.n), [len(r) for r in rows])
+    def __init__(self, many: list[np.ndarray]):
+        self.n = len(many)
+        self.cols = np.concatenate([np.zeros(0, np.int32), *many])
+        self.rows = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in many])
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Rows:
+        feats = Features()
+        return cls([np.array(feats(t), np.int32) for t in texts])
 
     def logits(self, w: np.ndarray, b: float) -> np.ndarray:
         return np.bincount(self.rows, w[self.cols], self.n) + b
@@ -74,14 +80,12 @@ class _Rows:
         return np.bincount(self.cols, d[self.rows], 1 << BITS)
 
 
-def train(positive: list[str], unlabeled: list[str], prior: float, steps: int = 150, rate: float = 0.15, hits: float = 3.0) -> Linear:
+def train(pos: Rows, unl: Rows, prior: float, steps: int = 150, rate: float = 0.15, hits: float = 3.0) -> Linear:
     """Projected Adam on the whole sample's non-negative risk with the logistic loss. The l1 penalty is what ``hits`` toxic texts
     weigh in the risk: a place has to occur in more of them to get a weight."""
     w, b = np.zeros(1 << BITS), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 0.0
-    if not positive or not unlabeled:
+    if not pos.n or not unl.n:
         return Linear(w, b)
-    feats = Features()
-    pos, unl = _Rows([feats(t) for t in positive]), _Rows([feats(t) for t in unlabeled])
     penalty = hits * prior / pos.n
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -101,12 +105,28 @@ def train(positive: list[str], unlabeled: list[str], prior: float, steps: int =
     return Linear(w.astype(np.float32), b)
 
 
+def _gathered(rows: DataFrame) -> Rows:
+    """The matrix of a bounded sample (doc_id, text). The tasks work the places out; packed, they come to the driver, no text does."""
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        feats = Features()
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                packed = [np.array(sorted(feats(t)), np.int32).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "places"])
+
+    found = rows.mapInArrow(run, f"doc_id {id_type}, places binary").collect()
+    return Rows([np.frombuffer(r["places"], np.int32) for r in sorted(found, key=lambda r: r["doc_id"])])
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, positives: int = 2000, unlabeled: int = 6000) -> Linear:
     """Trains on at most ``positives`` confirmed toxic texts and ``unlabeled`` others, all outside the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull() & (crc_fold("doc_id", folds) != held)).agg(F.avg("toxic")).first()[0]
     prior = min(max(float(known or 0.01), 0.01), 0.9)
-    toxic = [t for t, y in labelled(docs, labels.where("toxic = 1"), "toxic", folds, held, positives) if y == 1]
-    return train(toxic, unlabelled(docs, folds, held, unlabeled), prior)
+    pos = _gathered(labelled_rows(docs, labels, "toxic", 1, folds, held, positives))
+    return train(pos, _gathered(unlabelled_rows(docs, folds, held, unlabeled)), prior)
 
 
 def score(docs: DataFrame, model: Linear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
