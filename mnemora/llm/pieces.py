@@ -1,16 +1,25 @@
-"""SentencePiece encoding that keeps offsets, and decoding.
+"""SentencePiece encoding that keeps offsets, and decoding, worked out here from a model's tables.
 
-The model's compiled character map (a double-array trie over UTF-8, with the replacement strings behind it) is walked here
-with longest-prefix matches, and every normalised byte records the original byte it comes from. The library segments the
-text; the pieces' lengths over the normalised bytes project each piece to its span of original bytes.
+The model's compiled character map (a double-array trie over UTF-8, with the replacement strings behind it) is walked with
+longest-prefix matches, and every normalised byte records the original byte it comes from. The normalised text is cut where no
+piece of the vocabulary has the two neighbouring characters next to each other: no merge can cross such a place. Within a
+stretch, the adjacent pair that is the best-scored piece merges first, the leftmost of equals. What is no piece in the end
+becomes one piece for each byte. The pieces' lengths over the normalised bytes project each piece to its span of original bytes.
+Words not met before are merged many at a time, as rows of numpy arrays.
 
-Defined cases: null text is empty and has no pieces; very long texts are encoded whole; a piece that stands for nothing in
-the text (the dummy prefix) has an empty span.
+Of models, those with byte-pair merges, byte pieces and otherwise only normal, unknown and control pieces are read; others raise
+ValueError.
+
+Defined cases: null text is empty and has no pieces; an empty table has no rows; null and repeated ids are kept row by row;
+further columns are not read; very long texts are encoded whole; a piece that stands for nothing in the text (the dummy prefix)
+has an empty span.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -21,6 +30,11 @@ from pyspark.sql import DataFrame
 from .common import texts
 
 SPACE = "▁".encode()
+WORDS = re.compile("▁*[^▁]*(?<=.)", re.DOTALL)
+#: Words that a task remembers with their pieces, about.
+MEMO = 1 << 18
+#: Words of up to so many characters are merged side by side and remembered; so many at a time.
+SHORT, ROWS, NEVER = 40, 4096, float("-inf")
 
 
 class CharacterMap:
@@ -99,37 +113,202 @@ class Normalizer:
         return lead + raw.replace(b" ", self.space), np.concatenate([np.zeros(len(lead), np.int64), source, [len(raw)]])
 
 
+class Merger:
+    """Byte-pair merges: ``pieces(texts)`` gives the ids of normalised texts."""
+
+    def __init__(self, proto, kinds):
+        used = {p.type for p in proto.pieces}
+        if proto.trainer_spec.model_type != 2 or kinds.BYTE not in used or not used <= {kinds.NORMAL, kinds.UNKNOWN, kinds.CONTROL, kinds.BYTE}:
+            raise ValueError("only byte-pair models with byte pieces and without user-defined and unused ones are read")
+        plain = [(i, p) for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL]
+        self.ids, self.scores = {p.piece: i for i, p in plain}, {p.piece: p.score for _, p in plain}
+        self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
+        #: Neighbouring characters in some piece. Elsewhere a text can be cut.
+        self.joined = {x for p in self.ids for x in zip(p, p[1:], strict=False)}
+        #: Whether a cut before each run of spaces holds good, which a pattern finds fastest.
+        self.spaced = not any(y == SPACE.decode() != x for x, y in self.joined)
+        self.memo: dict[str, list[int]] = {}
+        self._tables()
+
+    def _tables(self) -> None:
+        """What characters are by code point (their piece, or for want of one a negative number), and the pairs of pieces that make
+        a piece, sorted by a key."""
+        self.first = -2 - np.arange(0x110000)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.first[ord(p)] = i
+        self.base = max(self.ids.values(), default=0) + 1
+        halves = [(self.ids[p[:k]] * self.base + self.ids[p[k:]], self.scores[p], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
+        halves.sort()
+        self.keys = np.array([x[0] for x in halves] + [np.iinfo(np.int64).max], np.int64)
+        self.score = np.array([x[1] for x in halves] + [NEVER], np.float32)
+        self.made = np.array([x[2] for x in halves] + [-1], np.int64)
+        #: Characters that are in pieces without being one; what they make isn't among the pairs.
+        self.odd = frozenset(c for p in self.ids for c in p if c not in self.ids)
+
+    def pieces(self, texts: list[str]) -> list[list[int]]:
+        words = [WORDS.findall(t) if self.spaced else [t] for t in texts]
+        memo = self.memo
+        if len(memo) >= MEMO:
+            memo.clear()
+        new = {w for own in words for w in own if w not in memo}
+        few = sorted((w for w in new if len(w) <= SHORT), key=len)
+        for at in range(0, len(few), ROWS):
+            part = few[at : at + ROWS]
+            memo.update(zip(part, self._rows(part), strict=True))
+        far = [w for w in new if len(w) > SHORT]
+        for w in far:
+            memo[w] = self._word(w)
+        out = [[i for w in own for i in memo[w]] for own in words]
+        for w in far:  # long ones aren't remembered
+            del memo[w]
+        return out
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score, piece) that each pair makes; pairs with a negative half make none."""
+        key = np.where((left < 0) | (right < 0), -1, left * self.base + right)
+        at = np.searchsorted(self.keys, key)
+        at[self.keys[at] != key] = len(self.keys) - 1
+        return self.score[at], self.made[at]
+
+    def _rows(self, words: list[str]) -> list[list[int]]:
+        """The ids of short words, all merged side by side."""
+        sizes = np.array([len(w) for w in words])
+        wide = int(sizes.max()) + 1
+        own = np.full((len(words), wide), -1, np.int64)
+        own[np.arange(wide) < sizes[:, None]] = self.first[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
+        out: list[list[int]] = [[]] * len(words)
+        rows = np.arange(len(words))
+        score, made = self._pairs(own[:, :-1], own[:, 1:])
+        cols = np.arange(wide)
+        while len(rows):
+            at = score.argmax(1)
+            every = np.arange(len(rows))
+            done = score[every, at] == NEVER
+            if done.any():
+                for r, ids in zip(rows[done].tolist(), own[done].tolist(), strict=True):
+                    out[r] = ids[: ids.index(-1)]
+                for r in rows[done][(own[done] < -1).any(1)].tolist():
+                    out[r] = self._word(words[r]) if self.odd.intersection(words[r]) else [y for x in out[r] for y in ([x] if x >= 0 else [self.bytes[z] for z in chr(-2 - x).encode()])]
+                rows, own, score, made, at = (x[~done] for x in (rows, own, score, made, at))
+                every = np.arange(len(rows))
+                if not len(rows):
+                    break
+            new = made[every, at]
+            skip = np.minimum(cols + (cols > at[:, None]), wide - 1)
+            own = np.take_along_axis(own, skip, 1)
+            own[:, -1] = -1
+            own[every, at] = new
+            skip = np.minimum(skip[:, :-1], wide - 2)
+            score, made = np.take_along_axis(score, skip, 1), np.take_along_axis(made, skip, 1)
+            score[:, -1] = NEVER
+            score[every, at], made[every, at] = self._pairs(new, own[every, at + 1])
+            ahead = every[at > 0]
+            score[ahead, at[ahead] - 1], made[ahead, at[ahead] - 1] = self._pairs(own[ahead, at[ahead] - 1], new[ahead])
+        return out
+
+    def _word(self, word: str) -> list[int]:
+        """A word of any length and characters: cut where no piece can cross, and each stretch merged by a heap."""
+        out, start = [], 0
+        for end in range(1, len(word) + 1):
+            if end == len(word) or (word[end - 1], word[end]) not in self.joined:
+                for piece in self._merged(word[start:end]):
+                    i = self.ids.get(piece)
+                    out += [self.bytes[x] for x in piece.encode()] if i is None else [i]
+                start = end
+        return out
+
+    def _merged(self, part: str) -> list[str]:
+        """A heap holds the pairs that may merge; one of them is stale if either half has changed."""
+        own, after, before, scores = list(part), list(range(1, len(part) + 1)), list(range(-1, len(part) - 1)), self.scores
+        heap: list[tuple[float, int, int, str]] = []
+
+        def offer(left: int, right: int) -> None:
+            if left >= 0 and right < len(own) and (score := scores.get(pair := own[left] + own[right])) is not None:
+                heapq.heappush(heap, (-score, left, right, pair))
+
+        for i in range(len(own) - 1):
+            offer(i, i + 1)
+        while heap:
+            _, left, right, pair = heapq.heappop(heap)
+            if not own[left] or not own[right] or after[left] != right or own[left] + own[right] != pair:
+                continue
+            own[left], own[right] = pair, ""
+            after[left] = after[right]
+            if after[left] < len(own):
+                before[after[left]] = left
+            offer(before[left], left)
+            offer(left, after[left])
+        return [x for x in own if x]
+
+
 class Codec:
-    """One model: ``encode`` many texts to ids and byte spans, ``decode`` many lists of ids."""
+    """One model: ``encode`` texts to ids and byte spans, ``decode`` ids to texts."""
 
     def __init__(self, model: bytes):
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
-        self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
-        spec = proto.normalizer_spec
+        spec, kinds = proto.normalizer_spec, sentencepiece_model_pb2.ModelProto.SentencePiece
         self.normalize = Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
-        #: Bytes that each id covers; -1 where only the text tells (unknown and control pieces).
-        kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
-        self.width = np.array([1 if p.type == kinds.BYTE else -1 if p.type in (kinds.UNKNOWN, kinds.CONTROL) else len(p.piece.encode()) for p in proto.pieces])
+        self.merger = Merger(proto, kinds)
+        #: What each id says; None where it is a byte.
+        says = {kinds.NORMAL: lambda p: p.piece.replace(SPACE.decode(), " "), kinds.UNKNOWN: lambda p: proto.trainer_spec.unk_surface, kinds.CONTROL: lambda p: "", kinds.BYTE: lambda p: None}
+        self.says = [says[p.type](p) for p in proto.pieces]
+        self.byte = {i: int(p.piece[3:5], 16) for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
+        self.width = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in proto.pieces])
+        self.normal = {i for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL}
+        self.dummy, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
 
     def encode(self, many: list[str]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+        normal = [self.normalize(t.encode()) for t in many]
         out = []
-        for text, ids in zip(many, self.lib.encode(many, num_threads=1), strict=True):
-            normal, source = self.normalize(text.encode())
+        for ids, (raw, source) in zip(self.merger.pieces([raw.decode() for raw, _ in normal]), normal, strict=True):
             width = self.width[ids] if ids else np.zeros(0, np.int64)
-            if len(width) and width.min() < 0:
-                width = np.array([len(p.piece.encode()) if w < 0 else w for p, w in zip(self.lib.encode(text, out_type="immutable_proto").pieces, width, strict=True)])
             ends = np.cumsum(width)
-            if (int(ends[-1]) if len(ends) else 0) != len(normal):
+            if (int(ends[-1]) if ids else 0) != len(raw):
                 raise ValueError("the pieces do not cover the normalised text")
             out.append((ids, source[ends - width], source[ends]))
         return out
 
-    def decode(self, many: list[list[int]]) -> list[str]:
-        return self.lib.decode(many) if many else []
+    def decode(self, ids: list[int]) -> str:
+        out, first, held = [], True, bytearray()
+        says = self.says
+        for i in ids:
+            said = says[i]
+            if said is None:
+                held.append(self.byte[i])
+                first = False
+                continue
+            if held:
+                out.append(_characters(held))
+                held = bytearray()
+            if first:
+                if i in self.normal and (self.dummy or self.squeeze) and said.startswith(" "):
+                    said = said[1:]  # the dummy prefix; where leading spaces go, all of them do
+                    first = self.squeeze and not said
+                elif said:
+                    first = False
+            out.append(said)
+        return "".join(out) + _characters(held)
+
+
+def _characters(raw: bytearray) -> str:
+    """Bytes as text; each byte that is no part of a character stands as a replacement character."""
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        out, at = [], 0
+        while at < len(raw):
+            width = 1 + sum(raw[at] >= x for x in (0xC0, 0xE0, 0xF0))
+            try:
+                out.append(raw[at : at + width].decode())
+                at += width
+            except UnicodeDecodeError:
+                out.append("\ufffd")
+                at += 1
+        return "".join(out)
 
 
 _ARROW = {"array<int>": pa.list_(pa.int32()), "bigint": pa.int64(), "string": pa.string()}
@@ -153,8 +332,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             for at in range(0, batch.num_rows, GROUP):
                 part = batch.slice(at, GROUP)
                 found = codec.encode(part.column("text").to_pylist())
-                back = codec.decode([x[0] for x in found])
-                rows = [finish(*x, d) for x, d in zip(found, back, strict=True)]
+                rows = [finish(*x, codec.decode(x[0])) for x in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True))], names=["doc_id", *names])
 
     return texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {id_type}, {schema}")
