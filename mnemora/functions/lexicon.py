@@ -47,3 +47,37 @@ ACTION = r"\b(?:was|is|were|are)\s+(?:tasked with|tasked to|assigned to|responsi
 VERB_RELATION = {"approved": "APPROVED_BY", "ratified": "APPROVED_BY", "endorsed": "APPROVED_BY", "rejected": "REJECTED_BY", "deferred": "DEFERRED_BY", "proposed": "PROPOSED_BY"}
 VAGUE = "it this that them these those proposal motion resolution recommendation plan request".split()
 ABBREVIATIONS = r"\b(Dr|Prof|Mr|Mrs|Ms|Shri|Smt|St|No)\."
+
+# Leading words that a decision's object is stripped of, and the signs of attendance, membership and consequence in a sentence.
+OBJECT_LEADS = (
+    r"(?i)^(?:the|a|an)\s+", r"(?i)^(?:proposal|proposed|recommendation|motion|resolution|plan)\s+(?:to|for|of|on)\s+",
+    r"(?i)^(?:introduction|establishment|creation|launch)\s+of\s+",
+)
+ATTENDED, MEMBERS = r"\b(?:attended|attendees|present|participated)\b", r"\bmember of\b"
+FOLLOWS = r"\b(?:this|the) decision\b|\bto implement\b"
+
+# Words of a question that say what is asked, and words for kinds of bodies; neither is what the question is about.
+GENERIC = (
+    "approve approved approves approval approving decide decided decides deciding decision decisions reject rejected rejects rejection "
+    "propose proposed proposes proposal proposals defer deferred defers resolve resolved resolution ratify ratified endorse endorsed "
+    "reason reasons rationale justification justified justify because meeting meetings happen happened happening held date dates made "
+    "make makes take taken took give given gave result results outcome outcomes history timeline trail chronological chronology list "
+    "show tell explain describe summarize summarise summary overview please due deadline deadlines deliver delivered related relate "
+    "relates relating about regarding concerning concern concerns month months year years day days week weeks recent latest earlier "
+    "later previous follow follows followed supersede supersedes superseded so very really actually exactly specifically currently "
+    "finally ultimately eventually mainly mostly just only still yet then thus hence"
+).split()
+ROLES = "committee council board department college university institute senate organization organisation member members faculty office cell unit".split()
+
+# What a question asks for.
+ASKS = {
+    "decide": r"\b(?:decid\w*|approv\w*|reject\w*|defer\w*|resolv\w*|ratif\w*|endors\w*)\b", "decision": r"\bdecisions?\b", "propose": r"\bpropos\w*",
+    "due": r"\b(?:due|deadlines?|deliver\w*)\b", "why": r"\b(?:why|reasons?|rationale|justif\w*|because)\b",
+    "listing": r"\b(?:list|all|every|decisions|timeline|history|chronolog\w*|overview|summar\w*|recent|latest|so far)\b",
+    "history": r"\b(?:history|timeline|chronolog\w*|related|relate\w*|follow\w*|supersed\w*|previous\w*|earlier|precede\w*)\b",
+    "APPROVED": r"\bapprov\w*", "REJECTED": r"\breject\w*", "DEFERRED": r"\bdefer\w*",
+}
+EVENT_KINDS = {"decide": ("APPROVED", "REJECTED", "DEFERRED", "DECIDED", "MEETING"), "propose": ("PROPOSED",), "due": ("DUE",)}
+MENTIONED = ("COMMITTEE", "DEPARTMENT", "ORGANIZATION", "PERSON", "EVENT")
+# Shares of a topic's weight that must hit a decision's name, or its name and reasons; share of the best score; sentences shown.
+DIRECT, SUPPORT, KEEP, SENTENCES = 0.5, 0.6, 0.75, 12

@@ -80,10 +80,18 @@ def text_supports(name: Column, text: Column, threshold: float = 0.6) -> Column:
     return (F.size(own) > 0) & (F.size(F.filter(own, lambda t: F.array_contains(there, t))) >= F.lit(threshold) * F.size(own))
 
 
-def quoted(evidence: Column, text: Column) -> Column:
-    """Whether a quote of two words or more is in the text, up to case and punctuation."""
-    e = normalize_text(evidence)
-    return (F.size(F.split(e, " ")) >= 2) & F.contains(normalize_text(text), e)
+def quoted(evidence: Column, text: Column, percent: int = 85) -> Column:
+    """Whether a quote of two words or more is in the text, up to case and punctuation, or a stretch of ``percent`` of it is. Some
+    stretch of that length is there only if one of the few that begin in the quote's first letters is."""
+
+    def near(x: Column) -> Column:
+        size = F.char_length(x["e"])
+        least = F.floor((size * percent + 99) / 100).cast("int")
+        begins = F.sequence(F.lit(1), size - least + 1)
+        whole = F.contains(x["t"], x["e"])
+        return (F.size(F.split(x["e"], " ")) >= 2) & (whole | F.exists(begins, lambda at: F.contains(x["t"], F.substring(x["e"], at, least))))
+
+    return F.exists(F.array(F.struct(normalize_text(evidence).alias("e"), normalize_text(text).alias("t"))), near)
 
 
 def term_in(term: Column, tokens: Column) -> Column:

@@ -52,9 +52,8 @@ def _object(found: Column) -> Column:
     """The object of a decision without what only introduces it."""
     s = F.regexp_replace(found, "^[ ,.;]+|[ ,.;]+$", "")
     for _ in range(3):
-        s = F.regexp_replace(s, r"(?i)^(?:the|a|an)\s+", "")
-        s = F.regexp_replace(s, r"(?i)^(?:proposal|proposed|recommendation|motion|resolution|plan)\s+(?:to|for|of|on)\s+", "")
-        s = F.regexp_replace(s, r"(?i)^(?:introduction|establishment|creation|launch)\s+of\s+", "")
+        for lead in lexicon.OBJECT_LEADS:
+            s = F.regexp_replace(s, lead, "")
     return F.trim(s)
 
 
@@ -74,7 +73,7 @@ def sentences(chunked: DataFrame) -> DataFrame:
     s = s.withColumn("decision", F.when(fine, F.struct(F.col("_obj").alias("name"), F.col("_verb").alias("verb"), F.col("_actor").alias("actor"), date["iso"].alias("date"), reason.alias("reason"))))
     act = F.when(F.col("_due") != "", F.regexp_replace("_act", rf"\s+by\s+{lexicon.DATE}\s*$", "")).otherwise(F.col("_act"))
     fine = F.col("_doer").isNotNull() & F.char_length(act).between(3, 200)
-    s = s.withColumn("action", F.when(fine, F.struct(act.alias("name"), F.col("_doer").alias("actor"), F.get(F.transform(F.filter(F.array("_due"), lambda d: d != ""), dates.parse_date), F.lit(0)).alias("due"), F.col("low").rlike(r"\b(?:this|the) decision\b|\bto implement\b").alias("follows"))))
+    s = s.withColumn("action", F.when(fine, F.struct(act.alias("name"), F.col("_doer").alias("actor"), F.get(F.transform(F.filter(F.array("_due"), lambda d: d != ""), dates.parse_date), F.lit(0)).alias("due"), F.col("low").rlike(lexicon.FOLLOWS).alias("follows"))))
     s = s.drop("_verb", "_found", "_ahead", "_why", "_act", "_lead", "_obj", "_actor", "_doer", "_due")
     w = Window.partitionBy("document_id", "chunk_id").orderBy("sent_no").rowsBetween(Window.unboundedPreceding, 0)
     return s.select("*", F.last("meeting", True).over(w).alias("last_meeting"), F.collect_list("meeting").over(w).alias("meetings"), F.last("decision.name", True).over(w).alias("last_decision"))
@@ -103,14 +102,14 @@ def statements(said: DataFrame) -> DataFrame:
     action = _entity(c("action.name"), "ACTION")
     none = "array<struct<src:struct<name:string,type:string>,relation:string,dst:struct<name:string,type:string>,date:string>>"
     part = F.flatten(F.transform("bodies", lambda b: F.transform(F.filter("orgs", lambda o: F.regexp(F.regexp_replace(c("sent"), r"\s+", " "), F.concat(F.lit(r"\Q"), b, F.lit(r"\E of \Q"), o, F.lit(r"\E")))), lambda o: F.struct(F.struct(b.alias("name"), _body_type(b).alias("type")).alias("src"), F.lit("PART_OF").alias("relation"), F.struct(o.alias("name"), F.lit("ORGANIZATION").alias("type")).alias("dst"), F.lit(None).cast("string").alias("date")))))
-    attended = F.when(last.isNotNull() & c("low").rlike(r"\b(?:attended|attendees|present|participated)\b"), F.transform("persons", lambda p: F.struct(F.struct(p.alias("name"), F.lit("PERSON").alias("type")).alias("src"), F.lit("ATTENDED").alias("relation"), F.struct(last["name"].alias("name"), F.lit("MEETING").alias("type")).alias("dst"), F.lit(None).cast("string").alias("date")))).otherwise(F.array().cast(none))
+    attended = F.when(last.isNotNull() & c("low").rlike(lexicon.ATTENDED), F.transform("persons", lambda p: F.struct(F.struct(p.alias("name"), F.lit("PERSON").alias("type")).alias("src"), F.lit("ATTENDED").alias("relation"), F.struct(last["name"].alias("name"), F.lit("MEETING").alias("type")).alias("dst"), F.lit(None).cast("string").alias("date")))).otherwise(F.array().cast(none))
     found = F.concat(
         part.cast(none),
         _relation(meeting, "HELD_ON", _entity(c("meeting.iso"), "DATE"), c("meeting").isNotNull()),
         _relation(_entity(c("meeting.body"), _body_type(c("meeting.body"))), "CONVENED", meeting, c("meeting").isNotNull()),
         _relation(_entity(person0, "PERSON"), "CHAIRED", _entity(last["name"], "MEETING"), last.isNotNull() & person0.isNotNull() & F.contains("low", F.lit("chaired"))),
         attended.cast(none),
-        _relation(_entity(person0, "PERSON"), "MEMBER_OF", _entity(body0, _body_type(body0)), person0.isNotNull() & body0.isNotNull() & c("low").rlike(r"\bmember of\b")),
+        _relation(_entity(person0, "PERSON"), "MEMBER_OF", _entity(body0, _body_type(body0)), person0.isNotNull() & body0.isNotNull() & c("low").rlike(lexicon.MEMBERS)),
         _relation(decided, relation, actor, c("decision").isNotNull(), c("decision.date")),
         _relation(decided, "DECIDED_ON", _entity(c("decision.date"), "DATE"), outcome & c("decision.date").isNotNull(), c("decision.date")),
         _relation(decided, "DECIDED_AT", _entity(at, "MEETING"), outcome & (actor["type"] != "PERSON") & at.isNotNull()),

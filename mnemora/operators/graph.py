@@ -6,10 +6,13 @@ facts: source_id, target_id, relation, date_iso, provenance
 
 from __future__ import annotations
 
+from functools import reduce
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import lexicon, text
 from . import extraction, merging
 
 
@@ -53,6 +56,51 @@ def named_graph(entities: DataFrame, relationships: DataFrame) -> tuple[DataFram
     return own.unionByName(ends.withColumn("type", F.lit("unknown"))), edges
 
 
+def with_node(nodes: DataFrame, name: str, kind: str = "unknown") -> DataFrame:
+    """The named nodes with one more, or that one's type replaced; a blank name changes nothing."""
+    if not name.strip():
+        return nodes
+    new = nodes.sparkSession.createDataFrame([(name.strip(), kind)], "name string, type string")
+    return nodes.join(new, "name", "left_anti").select("name", "type").unionByName(new)
+
+
+def with_edge(nodes: DataFrame, edges: DataFrame, source: str, relation: str, target: str) -> tuple[DataFrame, DataFrame]:
+    """The named graph with one more edge, or that edge's relation replaced; ends that aren't there come as unknown nodes, and a
+    blank end changes nothing."""
+    if not source.strip() or not target.strip():
+        return nodes, edges
+    new = nodes.sparkSession.createDataFrame([(source.strip(), target.strip(), relation.strip())], "source string, target string, relation string")
+    ends = new.select(F.col("source").alias("name")).union(new.select("target")).distinct().join(nodes, "name", "left_anti")
+    kept = edges.join(new, ["source", "target"], "left_anti").select("source", "target", "relation")
+    return nodes.unionByName(ends.withColumn("type", F.lit("unknown"))), kept.unionByName(new)
+
+
+def node(nodes: DataFrame, name: str) -> dict | None:
+    """A named node, or None."""
+    row = nodes.where(F.col("name") == name.strip()).first()
+    return None if row is None else row.asDict()
+
+
+def related(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """name, type, relation, direction of a named node's neighbours, those that it points to first."""
+    name = name.strip()
+    out = edges.where(F.col("source") == name).select(F.col("target").alias("name"), "relation", F.lit("outgoing").alias("direction"))
+    in_ = edges.where(F.col("target") == name).select(F.col("source").alias("name"), "relation", F.lit("incoming").alias("direction"))
+    return nodes.select("name", "type").join(out.unionByName(in_), "name").select("name", "type", "relation", "direction").orderBy(F.desc("direction"), "name", "relation")
+
+
+def exported(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """nodes (id, label, type), edges and links (source, target, relation), stats."""
+    links = edges.select("source", "target", "relation")
+    return {"nodes": nodes.select(F.col("name").alias("id"), F.col("name").alias("label"), "type"), "edges": links, "links": links, "stats": stats(nodes, edges)}
+
+
+def modes(facts: DataFrame) -> DataFrame:
+    """modes: how the facts were extracted, sorted; rules: whether some were by rules."""
+    found = facts.select(F.explode("provenance.mode").alias("m")).agg(F.array_sort(F.collect_set("m")).alias("modes"))
+    return found.select("modes", F.array_contains("modes", "rules").alias("rules"))
+
+
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes, edges, density (directed), is_empty."""
     counts = nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
@@ -133,23 +181,23 @@ def find_entities(nodes: DataFrame, query: str, types: list[str] | None = None,
     letters or more in the query 2 more; best first, then by name and id."""
     if isinstance(limit, bool) or limit < 1:
         raise ValueError("limit must be 1 or more")
-    real = nodes.where("not source_document")
-    q = F.lit(query)
-    own = real.select("id", "name", "type", name_tokens(nodes).alias("own"), text.content_tokens(F.coalesce("description", F.lit(""))).alias("desc"))
-    rows = own.select("*", F.explode(F.array_distinct(text.content_tokens(q))).alias("term"))
-    every = F.array_distinct(F.concat("own", "desc"))
-    idx = own.select(F.explode(every).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    total = real.agg(F.count("*").alias("total"))
-    # The weight of a term is that of its exact form; unknown terms weigh most.
-    rows = rows.join(idx, F.col("term") == F.col("t"), "left").crossJoin(F.broadcast(total))
-    weight = 1 + F.log((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1))
-    part = F.when(text.term_in(F.col("term"), F.col("own")), weight).when(text.term_in(F.col("term"), F.col("desc")), 0.3 * weight).otherwise(0.0)
-    scored = rows.groupBy("id", "name", "type").agg(F.sum(part).alias("s")).where("s > 0")
+    known = [t.upper() for t in types or []]
+    if wrong := [t for t in known if t not in lexicon.ENTITY_TYPES]:
+        raise ValueError(f"unknown entity type: {wrong[0]!r}")
+    spark, real = nodes.sparkSession, nodes.where("not source_document")
+    asked, generic, phrase = spark.range(1).select(text.content_tokens(F.lit(query)), text.content_tokens(F.lit(" ".join(lexicon.GENERIC))), text.normalize_text(F.lit(query))).first()
+    terms = [t for t in dict.fromkeys(asked) if t not in generic]
+    own = real.select("id", "name", "type", name_tokens(real).alias("own"), text.content_tokens(F.coalesce("description", F.lit(""))).alias("desc"))
+    # The question's few words are counted in one row; the plan over the nodes has them as literals.
+    counts = own.agg(F.count("*"), *[F.count_if((F.col("type") != "DATE") & F.array_contains("own", t)) for t in terms]).first()
+    weights = {t: 1.0 + log((counts[0] + 1) / (n + 1)) for t, n in zip(terms, counts[1:], strict=True)}
+    part = lambda t, w: F.when(text.term_in(F.lit(t), F.col("own")), w).when(text.term_in(F.lit(t), F.col("desc")), 0.3 * w).otherwise(0.0)
+    score = reduce(lambda a, b: a + b, [part(t, w) for t, w in weights.items()], F.lit(0.0))
     key = text.normalize_text(F.col("name"))
-    bonus = F.when((F.char_length(key) >= 4) & F.contains(text.normalize_text(q), key), 2.0).otherwise(0.0)
-    scored = scored.select("id", "name", "type", F.round(F.col("s") + bonus, 3).alias("score"))
-    if types:
-        scored = scored.where(F.col("type").isin([t.upper() for t in types]))
+    bonus = F.when((F.char_length(key) >= 4) & F.contains(F.lit(phrase), key), 2.0).otherwise(0.0)
+    scored = own.withColumn("s", score).where("s > 0").select("id", "name", "type", F.round(F.col("s") + bonus, 3).alias("score"))
+    if known:
+        scored = scored.where(F.col("type").isin(known))
     return scored.orderBy(F.desc("score"), "name", "id").limit(limit)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, preview
+from . import graph
 
 
 def clamp(value: int | None, default: int, most: int) -> int:
@@ -66,32 +67,59 @@ def score_decisions(decisions: DataFrame, query: str, k: int = 10) -> DataFrame:
 
 
 def relationships_of(relationships: DataFrame, name: str, k: int = 20) -> DataFrame:
-    """Those with the name within either end."""
+    """Those with the name within either end; the newest for no name."""
     n = name.strip().lower()
     if not n:
-        return relationships.limit(0)
+        return relationships.orderBy(F.desc("id")).limit(k)
     return relationships.where(F.contains(F.lower("source_entity"), F.lit(n)) | F.contains(F.lower("target_entity"), F.lit(n))).orderBy(F.desc("id")).limit(k)
 
 
 def sources_of(sources: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """Evidence rows of the given documents(id)."""
+    """Evidence rows of the given documents(id); of all if none are given."""
+    if documents.isEmpty():
+        return sources.orderBy(F.desc("id")).limit(k)
     return sources.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi").orderBy(F.desc("id")).limit(k)
 
 
-def filtered(records: DataFrame, query: str = "", category: str | None = None, kind: str | None = None) -> DataFrame:
-    """Client records(name, type, category, summary, entities) by category, type, and the query in name, summary or an entity."""
-    if category:
-        records = records.where(F.col("category") == category)
-    if kind:
-        records = records.where(F.col("type") == kind)
-    q = F.lit(query.lower())
-    return records.where(F.contains(F.lower("name"), q) | F.contains(F.lower(F.coalesce("summary", F.lit(""))), q) | F.exists("entities", lambda e: F.contains(F.lower(e), q))) if query.strip() else records
-
-
-def retrieve(tables: dict[str, DataFrame], query: str, k: int = 5) -> dict[str, DataFrame]:
-    """documents, entities, decisions, relationships and neighbours of the best entity, and sources of the documents."""
-    docs, ents, decs = search_documents(tables["documents"], query, k), score_entities(tables["entities"], query, 10), score_decisions(tables["decisions"], query, k)
-    top = ents.limit(1).select(F.lower("name").alias("_n"))
-    r = tables["relationships"]
-    rel = r.join(F.broadcast(top), F.contains(F.lower("source_entity"), F.col("_n")) | F.contains(F.lower("target_entity"), F.col("_n"))).drop("_n").orderBy(F.desc("id")).limit(20)
-    return {"documents": docs, "entities": ents, "decisions": decs, "relationships": rel, "sources": sources_of(tables["sources"], docs, k)}
+def graph_context(nodes: DataFrame, edges: DataFrame, name: str, k: int) -> dict:
+    """stats of the named graph (name, type; source, target, relation), and the k first neighbours of a name."""
+    near = graph.related(nodes, edges, name).limit(k) if name.strip() else None
+    return {"stats": graph.stats(nodes, edges), "entity": name, "related_entities": near}
+
+
+def retrieve(tables: dict[str, DataFrame], query: str, k: int = 5) -> dict:
+    """documents, entities, decisions, sources of the documents, and around the best entity its relationships and graph_context."""
+    docs, ents, decs = search_documents(tables["documents"], query, k).persist(), score_entities(tables["entities"], query, k), score_decisions(tables["decisions"], query, k)
+    best = ents.first()
+    out = {"query": query, "documents": docs, "entities": ents, "decisions": decs, "sources": sources_of(tables["sources"], docs.select("id"), 20), "relationships": tables["relationships"].limit(0), "graph_context": {"stats": None, "entity": "", "related_entities": None}}
+    if best is not None:
+        out["relationships"] = relationships_of(tables["relationships"], best["name"], 20)
+        out["graph_context"] = graph_context(*graph.named_graph(tables["entities"], tables["relationships"]), best["name"], k)
+    return out
+
+
+_SECTIONS = {
+    "documents": ("RELEVANT DOCUMENTS:", lambda r: f"- {r['title'] or r['filename']}: {r['content'] or ''}"), "entities": ("\nENTITIES:", lambda r: f"- {r['name']} ({r['entity_type']})"),
+    "relationships": ("\nRELATIONSHIPS:", lambda r: f"- {r['source_entity']} --[{r['relation']}]--> {r['target_entity']}"), "decisions": ("\nDECISIONS:", lambda r: f"- {r['title']}: {r['description'] or ''}"),
+    "sources": ("\nSOURCES:", lambda r: f"- {r['filename'] or ''} | Page: {'N/A' if r['page_number'] is None else r['page_number']}"),
+}
+
+
+def context_text(found: dict) -> str:
+    """What ``retrieve`` found as text; its tables have a bounded number of rows each."""
+    parts = []
+    for name, (head, line) in _SECTIONS.items():
+        if rows := found[name].collect():
+            parts += [head, *map(line, rows)]
+    return "\n".join(parts)
+
+
+def model_context(found: dict) -> str:
+    """The same in sections, as a model is given it."""
+    each = {
+        "documents": ("DOCUMENTS:", lambda i, r: f"\nDocument {i}:\nFilename: {r['filename'] or ''}\nTitle: {r['title'] or ''}\nContent: {r['content'] or ''}"),
+        "entities": ("ENTITIES:", lambda i, r: _SECTIONS["entities"][1](r)), "relationships": ("RELATIONSHIPS:", lambda i, r: _SECTIONS["relationships"][1](r)),
+        "decisions": ("DECISIONS:", lambda i, r: "".join(f"\n{label}: {r[c] or ''}" for label, c in (("Decision", "title"), ("Description", "description"), ("Reason", "reason"), ("Date", "date"), ("Meeting", "meeting")))),
+    }
+    sections = ["\n".join([head, *(line(i, r) for i, r in enumerate(rows, 1))]) for name, (head, line) in each.items() if (rows := found[name].collect())]
+    return "\n\n".join(sections) or "No relevant institutional context was retrieved."

@@ -45,14 +45,18 @@ def _outcomes(out: DataFrame, facts: DataFrame, meetings: DataFrame, decided: Da
     return raw.groupBy("decision_id", "kind", "actor_id", "actor", "date").agg(F.min("description").alias("description"), F.max("meet").alias("meet"), F.array_distinct(F.flatten(F.collect_list("provenance"))).alias("provenance"))
 
 
-def steps(nodes: DataFrame, facts: DataFrame) -> DataFrame:
-    """decision_id, decision, step_no, date_iso, kind, description, actor, meeting, provenance."""
-    decisions = nodes.where("type = 'DECISION' and not source_document").select(F.col("id").alias("decision_id"), F.col("name").alias("decision"))
+def steps(nodes: DataFrame, facts: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """decision_id, decision, step_no, date_iso, kind, description, actor, meeting, provenance; of all decisions, or those in ``only``
+    (decision_id)."""
+    every = decisions = nodes.where("type = 'DECISION' and not source_document").select(F.col("id").alias("decision_id"), F.col("name").alias("decision"))
+    if only is not None:
+        decisions = every.join(only, "decision_id", "left_semi")
     ends = nodes.where("not source_document").select(F.col("id").alias("target_id"), F.col("name").alias("target_name"), F.col("date_iso").alias("target_date"))
     out = facts.where("relation <> 'MENTIONED_IN'").select(F.col("source_id").alias("decision_id"), "target_id", "relation", F.col("date_iso").alias("fact_date"), "provenance").join(decisions, "decision_id").join(ends, "target_id")
+    out = out.persist()  # a dozen branches read it
     meetings = out.where("relation = 'DECIDED_AT'").select("decision_id", F.col("target_id").alias("meeting_id"), F.col("target_name").alias("meeting"), F.col("target_date").alias("held"), F.col("provenance").alias("mprov"), _keys("provenance").alias("mkeys"))
     decided = out.where("relation = 'DECIDED_ON' and target_date is not null").select("decision_id", F.col("target_date").alias("date"), F.col("provenance").alias("dprov"), _keys("provenance").alias("dkeys"))
-    acts = _outcomes(out, facts, meetings, decided)
+    acts = _outcomes(out, facts, meetings, decided).persist()
     text = F.lit(None).cast("string")
 
     def rows(df: DataFrame, kind: str, description: Column, provenance: Column, date: Column = text, actor: Column = text, meeting: Column = text) -> DataFrame:
@@ -70,7 +74,8 @@ def steps(nodes: DataFrame, facts: DataFrame) -> DataFrame:
     listed = lambda lead, xs: F.when(F.size(xs) > 0, F.concat(F.lit(lead), F.array_join(xs, ", "), F.lit(")"))).otherwise("")
     spoken = lambda r: F.lower(F.replace(r, F.lit("_"), F.lit(" ")))
     ahead = out.where("relation in ('FOLLOWS_UP', 'SUPERSEDES')")
-    back = ahead.join(decisions.select(F.col("decision_id").alias("target_id")), "target_id", "left_semi").select(F.col("target_id").alias("decision_id"), F.col("decision").alias("other"), "relation", "provenance")
+    back = facts.where("relation in ('FOLLOWS_UP', 'SUPERSEDES')").select(F.col("source_id").alias("other_id"), F.col("target_id").alias("decision_id"), "relation", "provenance")
+    back = back.join(decisions.select("decision_id"), "decision_id", "left_semi").join(every.select(F.col("decision_id").alias("other_id"), F.col("decision").alias("other")), "other_id")
     all_steps = [
         acts.select("decision_id", F.col("date").alias("date_iso"), "kind", "description", "actor", F.col("meet.name").alias("meeting"), "provenance"),
         rows(plain, "DECIDED", F.concat(F.lit("Decision dated "), "date"), F.col("p"), F.col("date")),
@@ -88,9 +93,10 @@ def steps(nodes: DataFrame, facts: DataFrame) -> DataFrame:
     return union.join(decisions, "decision_id").select("decision_id", "decision", F.row_number().over(w).alias("step_no"), "date_iso", "kind", "description", "actor", "meeting", "provenance")
 
 
-def trails(nodes: DataFrame, facts: DataFrame) -> DataFrame:
-    """decision_id, decision, status, first_date, n_steps, reasons: every decision, also those without steps."""
-    own = steps(nodes, facts)
+def trails(nodes: DataFrame, facts: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """decision_id, decision, status, first_date, n_steps, reasons: every decision, also those without steps. ``own``: the ``steps``, if
+    they are there already."""
+    own = steps(nodes, facts) if own is None else own
     outcome = F.col("kind").isin("APPROVED", "REJECTED", "DEFERRED")
     s = own.groupBy("decision_id").agg(
         F.min("date_iso").alias("first_date"), F.count("*").alias("n_steps"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "REASON", F.struct("step_no", "description")))), lambda r: F.substring(r["description"], F.lit(9), F.char_length(r["description"])))).alias("reasons"),

@@ -1,111 +1,372 @@
-"""Questions: parsed on the driver to a small plan, answered over trails and facts."""
+"""Questions over the graph: parsed on the driver to a small plan, answered from trails, facts and their sentences.
+
+A question's words are few, so they stand in the plans as literals: no index of the whole graph is built or kept. Each decision is
+scored in one aggregation; a second one, grouped by which filters decisions pass, gives a table of a few rows from which the driver
+follows the filters one after another and says why a question can't be answered.
+"""
 
 from __future__ import annotations
 
 import calendar
+import datetime
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import date
+from functools import reduce
+from math import log
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, lexicon, text
-from ..operators import graph, trails
+from ..operators import decisions, graph, trails
 
-_FULL = "january february march april may june july august september october november december".split()
-_DAY = r"\d{4}-\d{2}-\d{2}"
-_NAMED = rf"(?:\d{{1,2}}(?:st|nd|rd|th)? )?(?:{lexicon.MONTHS})\.?(?: \d{{1,2}}(?:st|nd|rd|th)?)?,? \d{{4}}"
-_ANY = rf"(?:{_DAY}|{_NAMED}|\d{{4}}-\d{{2}}|\d{{4}})"
-_RANGE = re.compile(rf"\b(?:between ({_ANY}) and|from ({_ANY}) (?:to|until|-|–)) ({_ANY})", re.I)
-_INTENT = {
-    "why": r"\bwhy\b|\breasons?\b|\brationale\b|\bbecause\b", "propose": r"\bpropos", "due": r"\bdue\b|\bdeadlines?\b", "action": r"\bactions?\b|\btask",
-    "history": r"\bhistory\b|\btimeline\b|\btrail\b|\brelated\b", "decide": r"\bapprov|\breject|\bdefer|\bdecid|\bdecision|\bratif|\bendors",
-}
+_ANY_DATE = re.compile(lexicon.DATE, re.I)
+_YEAR = re.compile(r"\b(?:19|20)\d{2}\b")
+_RANGES = (
+    re.compile(rf"\bbetween\s+({lexicon.DATE})\s+and\s+({lexicon.DATE})", re.I),
+    re.compile(rf"(?:\bfrom\s+)?({lexicon.DATE})\s*(?:\bto\b|\bthrough\b|\buntil\b|\btill\b|-|–|—)\s*({lexicon.DATE})", re.I),
+)
+_MONTH_NO = {name.lower()[:3]: i for i, name in enumerate(calendar.month_name) if name}
+Span = tuple[datetime.date, datetime.date]
 
 
 @dataclass
 class Question:
+    """What a question asks. ``rest`` is its text without dates; ``years`` are bare ones, which may belong to a name."""
+
     text: str
-    spans: list[tuple[date, date]] = field(default_factory=list)
-    topic: str = ""
-    intents: set[str] = field(default_factory=set)
+    rest: str = ""
+    spans: list[Span] = field(default_factory=list)
+    years: list[str] = field(default_factory=list)
+    asks: set[str] = field(default_factory=set)
     error: str | None = None
 
+    @property
+    def kinds(self) -> tuple[str, ...]:
+        """The kinds of dated events meant: by its verbs; by the bare word decision only for want of one; else all but deadlines."""
+        named = [k for k in ("decide", "propose", "due") if k in self.asks]
+        if not named:
+            named = ["decide"] if "decision" in self.asks else ["decide", "propose"]
+        return tuple(x for k in named for x in lexicon.EVENT_KINDS[k])
+
 
-def _span(words: str) -> tuple[date, date]:
-    """The days of a partial date; ValueError if it isn't in the calendar."""
-    if m := re.fullmatch(r"(\d{4})(?:-(\d{2})(?:-(\d{2}))?)?", words):
-        y, mo, d = (int(x) if x else None for x in m.groups())
+def span(said: str) -> Span | None:
+    """The days of a date as it is said, in any case; None if it isn't in the calendar."""
+    if m := re.fullmatch(r"(\d{4})(?:-(\d{2})(?:-(\d{2}))?)?", said.strip()):
+        year, month, day = (int(x) if x else None for x in m.groups())
     else:
-        mo = 1 + next(i for i, n in enumerate(_FULL) if n.startswith(re.search("[A-Za-z]+", words)[0].lower()[:3]))
-        y, d = int(words[-4:]), (int(x[0]) if (x := re.search(r"\b\d{1,2}(?=\D|$)", words[:-4])) else None)
-    return date(y, mo or 1, d or 1), date(y, mo or 12, d or calendar.monthrange(y, mo or 12)[1])
+        month = _MONTH_NO[re.search(r"[A-Za-z]{3,}", said)[0].lower()[:3]]
+        numbers = [int(x) for x in re.findall(r"\d+", said)]
+        year, day = numbers[-1], numbers[0] if len(numbers) > 1 else None
+    try:
+        first = datetime.date(year, month or 1, day or 1)
+        return first, datetime.date(year, month or 12, day or calendar.monthrange(year, month or 12)[1])
+    except ValueError:
+        return None
 
 
 def parse(question: str) -> Question:
-    """Ranges, dates and years, intents, and what is left as the topic; invalid and reversed dates are errors of the question."""
+    """Ranges first, then single dates, then bare years, and what the rest asks for. A date that isn't in the calendar and a range
+    that ends before it starts are errors of the question."""
     q, rest = Question(question), question
-    try:
-        for m in _RANGE.finditer(question):
-            a, b = _span(m[1] or m[2]), _span(m[3])
-            if a[0] > b[1]:
-                q.error = "the range ends before it starts"
-            q.spans.append((a[0], b[1]))
-        rest = _RANGE.sub(" ", rest)
-        found = re.compile(rf"\b{_ANY}\b", re.I)
-        q.spans += [_span(m[0]) for m in found.finditer(rest)]
-        rest = found.sub(" ", rest)
-    except (ValueError, StopIteration):
-        q.error = "a date is not in the calendar"
-    q.intents = {k for k, p in _INTENT.items() if re.search(p, question, re.I)}
-    q.topic = " ".join(re.findall(r"\w+", rest))
+
+    def take(m: re.Match) -> str:
+        ends = [span(x) for x in m.groups()] if m.re in _RANGES else [span(m[0])] * 2
+        if None in ends:
+            q.error = f"'{m[0]}' is not a valid date{' range' if m.re in _RANGES else ''}."
+        elif ends[0][0] > ends[1][1]:
+            q.error = f"The date range '{m[0]}' ends before it starts."
+        else:
+            q.spans.append((ends[0][0], ends[1][1]))
+        return " "
+
+    for pattern in (*_RANGES, _ANY_DATE):
+        rest = pattern.sub(take, rest)
+    q.years = list(dict.fromkeys(_YEAR.findall(rest)))
+    q.rest, q.spans = _YEAR.sub(" ", rest), list(dict.fromkeys(q.spans))
+    q.asks = {k for k, p in lexicon.ASKS.items() if re.search(p, question, re.I)}
     return q
 
 
-def answer(nodes: DataFrame, facts: DataFrame, question: str, max_decisions: int = 3, coverage: float = 0.6) -> DataFrame:
-    """decision_id, decision, score, coverage, sufficient, step_no, date_iso, kind, description, evidence: the steps of the best
-    decisions, each by its share of the topic's weight found in its name, reasons, actors and actions. Without a date and a
-    topic, or with an invalid date, no rows."""
-    own = trails.steps(nodes, facts)
+@dataclass
+class Retrieval:
+    """What the graph has for a question. decisions: rank, decision_id, decision, score, coverage, unmatched, status, first_date,
+    reasons. steps: those of the decisions, with rank. evidence: place, document_id, filename, page, chunk_id, evidence, mode, rank,
+    score. entities: place, id, name, type, score. The tables are None where there is a reason not to answer."""
+
+    question: str
+    sufficient: bool = False
+    reason: str | None = None
+    terms: list[str] = field(default_factory=list)
+    matched_dates: list[str] = field(default_factory=list)
+    coverage: float = 0.0
+    decisions: DataFrame | None = None
+    steps: DataFrame | None = None
+    evidence: DataFrame | None = None
+    entities: DataFrame | None = None
+
+
+def check_limit(value, name: str) -> int:
+    if isinstance(value, bool) or not isinstance(value, int) or value < 1:
+        raise ValueError(f"{name} must be 1 or more, not {value!r}")
+    return value
+
+
+def _stems(spark, *texts: str) -> list[list[str]]:
+    """The stems of a few short texts, by the same expression that the graph's texts go through."""
+    row = spark.range(1).select(*[text.content_tokens(F.lit(t)).alias(f"t{i}") for i, t in enumerate(texts)]).first()
+    return [list(dict.fromkeys(x)) for x in row]
+
+
+def in_spans(iso: Column, spans: list[Span]) -> Column:
+    return reduce(lambda a, b: a | b, [dates.within(iso, F.lit(a), F.lit(z)) for a, z in spans], F.lit(False))
+
+
+def mentions(nodes: DataFrame, words: list[str]) -> DataFrame:
+    """id, name, type, toks of the bodies, people and events of which a name or alias consists of the words' stems only."""
+    own = lambda n: text.content_tokens(text.normalize_name(n, F.col("type")))
+    asked = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    whole = lambda n: F.exists(F.array(own(n)), lambda t: (F.size(t) > 0) & (F.size(F.array_except(t, asked)) == 0))
+    named = nodes.where(F.col("type").isin(*lexicon.MENTIONED) & ~F.col("source_document"))
+    return named.where(F.exists(F.concat(F.array("name"), "aliases"), whole)).select("id", "name", "type", own(F.col("name")).alias("toks"))
+
+
+def _vocabulary(nodes: DataFrame, facts: DataFrame, terms: list[str], years: list[str]) -> tuple[int, dict[str, int], set[str], set[str]]:
+    """The number of nodes; how many names have each term; which terms occur anywhere; which years are in names of decisions or
+    events. Two aggregations to one row each."""
+    real = nodes.where("not source_document")
+    named = real.select("type", graph.name_tokens(real).alias("toks"), F.concat(F.array(F.coalesce("description", F.lit(""))), F.transform("provenance", lambda p: F.coalesce(p["evidence"], F.lit("")))).alias("said"))
+    asked = [*dict.fromkeys([*terms, *years])]
+    plain = F.col("type") != "DATE"
+    said = F.flatten(F.transform("said", text.content_tokens))
+    every = named.select("type", "toks", F.when(plain, F.concat("toks", said)).otherwise(F.array().cast("array<string>")).alias("all"))
+    cols = [F.count("*").alias("n")]
+    for i, t in enumerate(asked):
+        cols += [F.count_if(plain & F.array_contains("toks", t)).alias(f"df{i}"), F.bool_or(text.term_in(F.lit(t), F.col("all"))).alias(f"in{i}"), F.bool_or(F.col("type").isin("DECISION", "EVENT") & F.array_contains("toks", t)).alias(f"name{i}")]
+    a = every.agg(*cols).first()
+    spoken = facts.select(F.flatten(F.transform("provenance", lambda p: text.content_tokens(F.coalesce(p["evidence"], F.lit(""))))).alias("toks"))
+    b = spoken.agg(F.count("*").alias("n"), *[F.bool_or(text.term_in(F.lit(t), F.col("toks"))).alias(f"in{i}") for i, t in enumerate(asked)]).first()
+    known = {t for i, t in enumerate(asked) if a[f"in{i}"] or b[f"in{i}"]}
+    return a["n"], {t: a[f"df{i}"] for i, t in enumerate(asked)}, known, {t for i, t in enumerate(asked) if a[f"name{i}"] and t in years}
+
+
+def profiles(nodes: DataFrame, facts: DataFrame) -> DataFrame:
+    """decision_id, part, toks: what a question may find a decision by, a row for each text. part: 'name', 'support' (reasons and
+    actions), 'context' (actors, meetings, assignees) or 'evidence' (its own sentences)."""
+    own = nodes.where("type = 'DECISION' and not source_document")
+    targets = nodes.where("not source_document").select(F.col("id").alias("target_id"), graph.name_tokens(nodes).alias("toks"))
+    said = facts.select(F.col("source_id").alias("decision_id"), "target_id", "relation", "provenance").join(own.select(F.col("id").alias("decision_id")), "decision_id", "left_semi").join(targets, "target_id")
+    part = F.when(F.col("relation").isin("JUSTIFIED_BY", "LED_TO"), "support").when(F.col("relation").isin("DECIDED_AT", *lexicon.OUTCOMES), "context")
+    led = said.where("relation = 'LED_TO'").select("decision_id", F.col("target_id").alias("action_id"))
+    assigned = facts.where("relation = 'ASSIGNED_TO'").select(F.col("source_id").alias("action_id"), "target_id").join(targets, "target_id")
+    spoken = own.select(F.col("id").alias("decision_id"), "provenance").unionByName(said.select("decision_id", "provenance")).select("decision_id", F.explode("provenance.evidence").alias("e")).where("e <> ''")
+    parts = [
+        own.select(F.col("id").alias("decision_id"), F.lit("name").alias("part"), graph.name_tokens(own).alias("toks")),
+        said.select("decision_id", part.alias("part"), "toks").where("part is not null"),
+        led.join(assigned, "action_id").select("decision_id", F.lit("context").alias("part"), "toks"),
+        spoken.select("decision_id", F.lit("evidence").alias("part"), text.content_tokens(F.col("e")).alias("toks")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def evaluated(nodes: DataFrame, facts: DataFrame, weights: dict[str, float], phrase: str) -> DataFrame:
+    """decision_id, decision, direct, support, coverage, score, unmatched: which share of the terms' weight each decision has in its
+    name, in its name, reasons and actions, and anywhere. A name of six letters or more that is in the question counts 2 more."""
+    names = decisions.ids(nodes)
+    zero = F.lit(0.0)
+    if not weights:
+        return names.select("decision_id", "decision", zero.alias("direct"), zero.alias("support"), F.lit(1.0).alias("coverage"), zero.alias("score"), F.array().cast("array<string>").alias("unmatched"))
+    rows = profiles(nodes, facts)
+    places = {"d": ("name",), "s": ("name", "support"), "c": ("name", "support", "context", "evidence")}
+    hits = [F.bool_or(F.col("part").isin(*parts) & text.term_in(F.lit(t), F.col("toks"))).alias(f"{p}{i}") for i, t in enumerate(weights) for p, parts in places.items()]
+    found = rows.groupBy("decision_id").agg(*hits).join(names, "decision_id")
+    total = sum(weights.values())
+    share = lambda p: reduce(lambda a, b: a + b, [F.when(F.col(f"{p}{i}"), w).otherwise(0.0) for i, w in enumerate(weights.values())], zero) / total
+    unmatched = F.array_compact(F.array(*[F.when(~F.col(f"c{i}"), F.lit(t)) for i, t in enumerate(weights)]))
+    key = text.normalize_text(F.col("decision"))
+    bonus = F.when((F.char_length(key) >= 6) & F.contains(F.lit(phrase), key), 2.0).otherwise(0.0)
+    out = found.select("decision_id", "decision", share("d").alias("direct"), share("s").alias("support"), share("c").alias("coverage"), unmatched.alias("unmatched"), bonus.alias("bonus"))
+    out = out.where((F.col("direct") >= lexicon.DIRECT) | (F.col("support") >= lexicon.SUPPORT))
+    return out.select("decision_id", "decision", "direct", "support", "coverage", (3 * F.col("direct") + 1.5 * F.col("support") + F.col("coverage") + F.col("bonus")).alias("score"), "unmatched")
+
+
+def _said(a: datetime.date, z: datetime.date) -> str:
+    return str(a) if a == z else f"{a}..{z}"
+
+
+def retrieve(nodes: DataFrame, facts: DataFrame, question: str, top_k: int = 8, max_decisions: int = 3, min_coverage: float = 0.6) -> Retrieval:
+    """The decisions, sentences and entities that answer a question, or the reason why there is no answer.
+
+    Topic words are found in decisions first. Then come the filters: entities that the question names, dates, and the facts that it
+    asks for. A filter that only worse matches of the topic pass answers nothing: the question isn't borne out by a lookalike.
+    """
+    if not isinstance(question, str):
+        raise TypeError("a question must be text")
+    check_limit(top_k, "top_k")
+    check_limit(max_decisions, "max_decisions")
+    if isinstance(min_coverage, bool) or not isinstance(min_coverage, (int, float)) or not 0 <= min_coverage <= 1:
+        raise ValueError(f"min_coverage must be between 0 and 1, not {min_coverage!r}")
+    out, spark = Retrieval(question), nodes.sparkSession
+
+    def fail(reason: str) -> Retrieval:
+        out.reason = reason
+        return out
+
+    if nodes.isEmpty():
+        return fail("The knowledge graph is empty.")
     q = parse(question)
-    shape = own.select("decision_id", "decision", F.lit(0.0).alias("score"), F.lit(0.0).alias("coverage"), F.lit(False).alias("sufficient"), "step_no", "date_iso", "kind", "description", F.array_distinct(F.transform("provenance", lambda p: p["evidence"])).alias("evidence"))
-    if q.error or not question.strip():
-        return shape.limit(0)
-    found = own.select("decision_id", "decision").distinct()
-    for a, b in q.spans:
-        inside = own.where(F.col("kind") != "ACTION").where(dates.within(F.col("date_iso"), F.lit(a), F.lit(b)))
-        found = found.join(inside.select("decision_id").distinct(), "decision_id", "left_semi")
-    profile = own.groupBy("decision_id").agg(F.array_distinct(F.flatten(F.collect_list(text.content_tokens(F.concat_ws(" ", "decision", "description"))))).alias("tokens"))
-    generic = "approv reject defer propos decid decision reason meet happen made dat due show list histor timeline relat action".split()
-    terms = F.array_except(F.array_distinct(text.content_tokens(F.lit(q.topic))), F.array(*[F.lit(g) for g in generic]))
-    weights = graph.term_weights(nodes).select("term", "weight")
-    rows = found.join(profile, "decision_id").select("decision_id", "tokens", F.explode_outer(terms).alias("term")).join(weights, "term", "left")
-    top = F.coalesce("weight", F.lit(10.0))  # a term that the graph doesn't know weighs most
-    hit = F.when(F.col("term").isNotNull() & text.term_in(F.col("term"), F.col("tokens")), top).otherwise(0.0)
-    scored = rows.groupBy("decision_id").agg(F.sum(hit).alias("score"), F.sum(F.when(F.col("term").isNotNull(), top).otherwise(0.0)).alias("all"))
-    share = F.when(F.col("all") > 0, F.col("score") / F.col("all")).otherwise(F.lit(1.0 if q.spans else 0.0))
-    best = scored.select("decision_id", "score", share.alias("coverage")).where("coverage > 0").orderBy(F.desc("coverage"), "decision_id").limit(max_decisions)
-    best = best.withColumn("top", F.max("coverage").over(Window.partitionBy())).where("coverage >= 0.75 * top").drop("top")  # of max_decisions rows
-    return shape.drop("score", "coverage", "sufficient").join(best, "decision_id").select("decision_id", "decision", "score", "coverage", (F.col("coverage") >= coverage).alias("sufficient"), "step_no", "date_iso", "kind", "description", "evidence").orderBy(F.desc("coverage"), "decision_id", "step_no")
-
-
-def cited(answered: DataFrame) -> DataFrame:
-    """label, evidence: S1, S2, ... for each sentence of an answer by its first appearance."""
-    rows = answered.select("coverage", "decision_id", "step_no", F.posexplode("evidence").alias("at", "evidence")).where("evidence <> ''")
-    first = rows.groupBy("evidence").agg(F.min(F.struct((-F.col("coverage")).alias("c"), "decision_id", "step_no", "at")).alias("k"))
-    return first.select(F.concat(F.lit("S"), F.row_number().over(Window.partitionBy().orderBy("k"))).alias("label"), "evidence")
-
-
-def trail_text(answered: DataFrame, status: DataFrame) -> DataFrame:
-    """decision_id, text: the trails of an answer as text, a line per step with the labels of its sentences. ``status``
-    (decision_id, status) comes from ``trails.trails``."""
-    labels = cited(answered)
-    rows = answered.select("decision_id", "decision", "step_no", "date_iso", "kind", "description", F.explode_outer("evidence").alias("evidence")).join(labels, "evidence", "left")
-    no = F.when(F.col("label").isNotNull(), F.substring("label", 2, 9).cast("int"))
-    rows = rows.groupBy("decision_id", "decision", "step_no", "date_iso", "kind", "description").agg(F.array_sort(F.collect_set(no)).alias("refs"))
-    refs = F.when(F.size("refs") > 0, F.concat(F.lit(" ["), F.array_join(F.transform("refs", lambda r: F.concat(F.lit("S"), r)), ","), F.lit("]"))).otherwise("")
-    line = F.concat(F.lit("  "), "step_no", F.lit(". "), F.coalesce("date_iso", F.lit("undated")), F.lit(" | "), "kind", F.lit(" | "), "description", refs)
-    text_ = rows.groupBy("decision_id", "decision").agg(F.array_sort(F.collect_list(F.struct("step_no", line.alias("line")))).alias("lines")).join(status.select("decision_id", "status"), "decision_id")
-    head = F.concat(F.lit("Decision: "), "decision", F.lit(" (status: "), "status", F.lit(")"))
-    return text_.select("decision_id", F.array_join(F.concat(F.array(head), F.transform("lines", lambda x: x["line"])), "\n").alias("text"))
+    words, generic = _stems(spark, q.rest, " ".join(lexicon.GENERIC + lexicon.ROLES))
+    phrase = spark.range(1).select(text.normalize_text(F.lit(q.rest))).first()[0]
+    if not phrase and not q.spans and not q.years:
+        return fail("The question contains no searchable words." if question.strip() else "The question is empty.")
+    if q.error:
+        return fail(q.error)
+    topic = [w for w in words if w not in generic]
+    n, df, known, named_years = _vocabulary(nodes, facts, topic, q.years)
+    topic += [y for y in q.years if y in named_years and y not in topic]
+    spans = list(dict.fromkeys([*q.spans, *(span(y) for y in q.years if y not in named_years)]))
+
+    named = mentions(nodes, words).persist()
+    names = named.agg(F.array_sort(F.collect_set(F.struct("id", "name"))).alias("n"), F.array_distinct(F.flatten(F.collect_set("toks"))).alias("t")).first()  # names of the question's own words
+    terms = out.terms = [t for t in topic if t not in set(names["t"])]
+    if foreign := [t for t in terms if t not in known]:
+        return fail(f"Question terms not found in the knowledge graph: {', '.join(foreign)}.")
+    if not terms and not names["n"] and not spans and "listing" not in q.asks:
+        return fail("The question does not name a topic, an entity or a date to search for.")
+    weights = {t: 1.0 + log((n + 1) / (df[t] + 1)) for t in terms}
+    matches = evaluated(nodes, facts, weights, phrase).persist()
+    if terms and matches.isEmpty():
+        return fail(f"No decision matches the topic terms: {', '.join(terms)}.")
+
+    # The filters, each as the decisions that pass it.
+    some = matches.select("decision_id")
+    own = trails.steps(nodes, facts, some if terms else None).persist()
+    dated = decisions.events(nodes, facts, own).join(some, "decision_id", "left_semi").persist()
+    shown = own.where(F.exists("provenance", lambda p: p["evidence"] != ""))
+    having = lambda *kinds: shown.where(F.col("kind").isin(*kinds)).select("decision_id").distinct()
+    outcomes = lexicon.EVENT_KINDS["decide"][:3]
+    tests: list[tuple[Callable[[], DataFrame], str]] = []
+    if names["n"]:
+        linked = lambda: decisions.links(nodes, facts).join(named.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("decision_id").distinct()
+        tests.append((linked, f"No decision matching the question is linked to {', '.join(x['name'] for x in names['n'])}."))
+    dates_at = len(tests)
+    if spans:
+        inside = lambda: dated.where(F.col("kind").isin(*q.kinds) & in_spans(F.col("date_iso"), spans)).select("decision_id").distinct()
+        tests.append((inside, f"No decision with a matching dated event was found for {', '.join(_said(*s) for s in spans)}."))
+    if "why" in q.asks:
+        tests.append((lambda: having("REASON"), "The matching decision has no stated reason in the graph."))
+    if not spans:
+        if "propose" in q.asks:
+            tests.append((lambda: having("PROPOSED"), "No proposal is recorded for the matching decision."))
+        if "decide" in q.asks:
+            tests.append((lambda: having(*outcomes), "No approval, rejection or deferral is recorded for the matching decision."))
+        if "due" in q.asks:
+            tests.append((lambda: dated.where("kind = 'DUE'").select("decision_id").distinct(), "No action deadline is recorded for the matching decision."))
+        if not terms and not names["n"] and q.asks.intersection(outcomes):
+            tests.append((lambda: having(*q.asks.intersection(outcomes)), "No decision with that outcome is recorded."))
+    flags = [f"passes{i}" for i in range(len(tests))]
+    flagged = matches
+    for f, (make, _) in zip(flags, tests, strict=True):
+        flagged = flagged.join(make().withColumn(f, F.lit(True)), "decision_id", "left").withColumn(f, F.coalesce(f, F.lit(False)))
+    table = flagged.groupBy(*flags).agg(F.max("direct").alias("direct")).collect() if flags else []  # a row for each combination
+    fallback = None
+    for i, (f, (_, reason)) in enumerate(zip(flags, tests, strict=True)):
+        kept = [r for r in table if r[f]]
+        if not kept or terms and max(r["direct"] for r in kept) < max(r["direct"] for r in table) - 1e-9:
+            if spans and i == dates_at and not q.asks.intersection(("decide", "propose", "due", "decision")) and not terms and not names["n"]:
+                held = nodes.where(F.col("type").isin("MEETING", "EVENT") & ~F.col("source_document")).where(in_spans(F.col("date_iso"), spans))
+                if not held.isEmpty():
+                    fallback = held
+                    break
+            return fail(reason)
+        table = kept
+    passed = reduce(lambda a, b: a & b, [F.col(f) for f in flags], F.lit(fallback is None))
+    return _filled(out, nodes, facts, q, spans, weights, flagged.where(passed).drop(*flags), own, named, fallback, top_k, max_decisions, min_coverage)
+
+
+def _filled(out: Retrieval, nodes: DataFrame, facts: DataFrame, q: Question, spans: list[Span], weights: dict[str, float], kept: DataFrame, own: DataFrame, named: DataFrame, fallback: DataFrame | None, top_k: int, max_decisions: int, min_coverage: float) -> Retrieval:
+    """Ranks and cuts the decisions that are left, and adds their sentences and entities."""
+    spark = nodes.sparkSession
+    firsts = own.groupBy("decision_id").agg(F.min("date_iso").alias("first_date"))
+    best = kept.join(firsts, "decision_id", "left").orderBy(F.desc("score"), F.asc_nulls_last("first_date"), "decision", "decision_id").limit(max_decisions).collect()
+    chosen = [(r["decision_id"], float(r["score"]), float(r["coverage"]), list(r["unmatched"])) for r in best if not weights or r["score"] >= lexicon.KEEP * best[0]["score"]]
+    if "history" in q.asks and chosen:  # explicit links only
+        first = spark.createDataFrame([(c[0], i) for i, c in enumerate(chosen)], "decision_id string, at int")
+        others = decisions.related(nodes, facts, first.select("decision_id")).join(first, "decision_id").groupBy("other_id").agg(F.min("at").alias("at"))
+        others = others.join(first, others["other_id"] == first["decision_id"], "left_anti").orderBy("at", "other_id").limit(max_decisions).collect()
+        chosen += [(r["other_id"], 0.5, 0.0, []) for r in others][: max_decisions - len(chosen)]
+    picked = spark.createDataFrame([(i, *c) for i, c in enumerate(chosen)], "rank int, decision_id string, score double, coverage double, unmatched array<string>")
+    if "history" in q.asks:  # others have come in
+        own = trails.steps(nodes, facts, picked.select("decision_id"))
+    steps = own.join(F.broadcast(picked.select("decision_id", "rank")), "decision_id").persist()
+    status = trails.trails(nodes, facts, steps.drop("rank"))
+    out.steps, out.decisions = steps.orderBy("rank", "step_no"), picked.join(status, "decision_id").orderBy("rank")
+    out.evidence = _evidence(nodes, facts, picked, steps, spans, weights, q, fallback, len(chosen)).persist()
+
+    days = nodes.where("type = 'DATE' and not source_document").where(in_spans(F.col("date_iso"), spans))
+    out.matched_dates = sorted(days.agg(F.collect_set("date_iso")).first()[0])  # no more than the spans have days
+    scored = picked.select(F.col("decision_id").alias("id"), F.round(F.col("score") + 1.0 / (1 + F.col("rank")), 3).alias("score"))
+    near = decisions.links(nodes, facts).join(F.broadcast(picked), "decision_id", "left_semi").select(F.col("entity_id").alias("id"))
+    scored = scored.unionByName(named.join(near, "id", "left_semi").select("id", F.lit(2.0).alias("score")))
+    if fallback is not None:
+        scored = scored.unionByName(fallback.select("id", F.lit(1.0).alias("score")))
+    scored = scored.groupBy("id").agg(F.max("score").alias("score")).join(nodes.select("id", "name", "type"), "id")
+    slots = min(len(out.matched_dates), max(1, top_k // 4)) if out.matched_dates else 0
+    topics = scored.orderBy(F.desc("score"), "name", "id").limit(max(top_k - slots, 0)).collect()
+    rows = [(r["id"], r["name"], r["type"], float(r["score"])) for r in topics]
+    rows += [(r["id"], r["name"], r["type"], 1.0) for r in days.orderBy("id").limit(top_k - len(rows)).collect()]
+    out.entities = spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "place int, id string, name string, type string, score double")
+
+    top = chosen[0] if chosen else None
+    coverage, missing = (top[2], top[3]) if top else (1.0 if fallback is not None else 0.0, [])
+    shown = not out.evidence.isEmpty()
+    out.coverage, out.sufficient = round(coverage, 3), shown and bool(top or fallback is not None) and coverage >= min_coverage
+    if not shown:
+        out.reason = "The matching decision has no source evidence in the graph."
+    elif coverage < min_coverage:
+        out.reason = f"Only {coverage:.0%} of the question's key terms were found in the best matching decision" + (f" (missing: {', '.join(missing)})." if missing else ".")
+    elif missing:
+        out.reason = f"Some question terms were not found in the evidence: {', '.join(missing)}."
+    return out
+
+
+def _evidence(nodes: DataFrame, facts: DataFrame, picked: DataFrame, steps: DataFrame, spans: list[Span], weights: dict[str, float], q: Question, fallback: DataFrame | None, most: int) -> DataFrame:
+    """The sentences of the chosen decisions by relevance, at most as many as are shown, but the best of each decision always."""
+    if fallback is not None:
+        held = facts.where("relation = 'HELD_ON'").join(fallback.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+        said = fallback.select("provenance").unionByName(held.select("provenance")).select(F.explode("provenance").alias("p"), F.lit(0).alias("rank"), F.lit(0.0).alias("score"))
+        order = [F.coalesce("p.document_id", F.lit("None")), F.coalesce("p.page", F.lit(0)), F.coalesce("p.chunk_id", F.lit("")), F.col("p.evidence")]
+    else:
+        base, kind = 1.0 / (1 + F.col("rank")), F.col("kind")
+        bonus = F.when(kind.isin("PROPOSED", "APPROVED", "REJECTED", "DEFERRED"), 0.4).when((kind == "REASON") & F.lit("why" in q.asks), 0.6).when((kind == "ACTION") & F.lit("due" in q.asks), 0.6).otherwise(0.0)
+        bonus = bonus + F.when(F.coalesce(in_spans(F.col("date_iso"), spans), F.lit(False)), 0.8).otherwise(0.0)
+        own = nodes.select(F.col("id").alias("decision_id"), "provenance").join(F.broadcast(picked), "decision_id")
+        said = own.select(F.explode("provenance").alias("p"), "rank", base.alias("score")).unionByName(steps.select(F.explode("provenance").alias("p"), "rank", (base + bonus).alias("score")))
+        toks = text.content_tokens(F.col("p.evidence"))
+        overlap = lambda t: reduce(lambda a, b: a + b, [F.when(text.term_in(F.lit(x), t), w).otherwise(0.0) for x, w in weights.items()]) / sum(weights.values())
+        if weights:
+            said = said.withColumn("score", F.col("score") + 0.8 * F.get(F.transform(F.array(toks), overlap), F.lit(0)))
+        order = [F.desc("score"), F.col("rank"), F.coalesce("p.document_id", F.lit("None")), F.coalesce("p.page", F.lit(0)), F.coalesce("p.chunk_id", F.lit("")), F.col("p.evidence")]
+    key = ["p.document_id", "p.page", "p.chunk_id", "p.evidence", "p.mode"]
+    said = said.where("p.evidence <> ''").groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)]).agg(F.max(F.struct("score", (-F.col("rank")).alias("r"), F.col("p.filename").alias("filename"))).alias("m"))
+    said = said.select(F.struct(F.col("k0").alias("document_id"), F.col("m.filename"), F.col("k1").alias("page"), F.col("k2").alias("chunk_id"), F.col("k3").alias("evidence"), F.col("k4").alias("mode")).alias("p"), (-F.col("m.r")).alias("rank"), F.col("m.score").alias("score"))
+    least = F.struct((-F.col("score")).alias("s"), F.coalesce("p.document_id", F.lit("None")).alias("d"), F.coalesce("p.page", F.lit(0)).alias("n"), F.coalesce("p.chunk_id", F.lit("")).alias("c"), F.col("p.evidence").alias("e"), F.coalesce("p.mode", F.lit("")).alias("m"))
+    said = said.withColumn("key", least)
+    firsts = said.groupBy("rank").agg(F.min("key").alias("first"))
+    said = said.join(F.broadcast(firsts), "rank").withColumn("first", F.col("key") == F.col("first"))  # a row for each chosen decision
+    few = said.orderBy(F.desc("first"), *order).limit(max(lexicon.SENTENCES, most))
+    placed = few.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(*order)))  # of the few sentences shown
+    return placed.select("place", "p.*", "rank", "score").orderBy("place")
+
+
+def answer(nodes: DataFrame, facts: DataFrame, question: str, max_decisions: int = 3, coverage: float = 0.6) -> DataFrame:
+    """decision_id, decision, score, coverage, sufficient, step_no, date_iso, kind, description, evidence: the steps of the decisions
+    that answer a question; no rows where nothing does."""
+    found = retrieve(nodes, facts, question, max_decisions=max_decisions, min_coverage=coverage)
+    if found.steps is None:
+        empty = "decision_id string, decision string, score double, coverage double, sufficient boolean, step_no int, date_iso string, kind string, description string, evidence array<string>"
+        return nodes.sparkSession.createDataFrame([], empty)
+    scores = found.decisions.select("decision_id", "score", "coverage")
+    own = found.steps.join(F.broadcast(scores), "decision_id")
+    return own.select("decision_id", "decision", "score", "coverage", F.lit(found.sufficient).alias("sufficient"), "step_no", "date_iso", "kind", "description", F.array_distinct(F.transform("provenance", lambda p: p["evidence"])).alias("evidence")).orderBy(F.desc("coverage"), "decision_id", "step_no")
