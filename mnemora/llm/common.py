@@ -14,10 +14,13 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a fresh local one only where it is unset (tests)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Where that is unset, a fresh folder on this machine if all
+    runs here, as in tests; elsewhere an error, as executors can't see each other's folders."""
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", "") or _OWN.get(app)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _OWN[app] = "file://" + tempfile.mkdtemp(prefix="mnemora-")
     return f"{base.rstrip('/')}/mnemora-{app}"
 

@@ -49,18 +49,31 @@ _COUNTS = r"(?i)\b(?:id|order|invoice|version|isbn|page|no|token|total|date|ref)
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<m, start, end>> of all non-overlapping matches, left to right."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<m:string,start:int,end:int>>")
+    """array<struct<m, start, end>> of all non-overlapping matches, left to right. Positions add up what lies between the matches, in
+    blocks of about as many matches as there are blocks, as adding to an array copies it."""
+    span = "struct<m:string,start:int,end:int>"
+    empty = F.array().cast(f"array<{span}>")
 
     def step(acc, x):
         start = acc["at"] + F.char_length(x["gap"])
         end = start + F.char_length(x["m"])
         return F.struct(F.array_append(acc["out"], F.struct(x["m"].alias("m"), start.alias("start"), end.alias("end"))).alias("out"), end.alias("at"))
 
-    pairs = F.transform(found, lambda m, i: F.struct(F.get(between, i).alias("gap"), m.alias("m")))
-    walked = F.aggregate(pairs, F.struct(empty.alias("out"), F.lit(0).alias("at")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(empty)
+    def walked(pairs: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(pairs))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(pairs) / side).cast("int") - 1), lambda i: F.slice(pairs, i * side + 1, side))
+        blocks = F.transform(parts, lambda own: F.aggregate(own, F.struct(empty.alias("out"), F.lit(0).alias("at")), step))
+        return F.get(F.transform(F.array(blocks), placed), F.lit(0))
+
+    def placed(blocks: Column) -> Column:
+        sums = F.aggregate(blocks, F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at")), lambda acc, x: F.struct(F.array_append(acc["out"], acc["at"]).alias("out"), (acc["at"] + x["at"]).alias("at")), lambda acc: acc["out"])
+        moved = lambda x, by: F.transform(x["out"], lambda m: F.struct(m["m"].alias("m"), (m["start"] + by).alias("start"), (m["end"] + by).alias("end")))
+        return F.flatten(F.zip_with(blocks, sums, moved))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())  # what follows the last match has none
+    return F.get(F.transform(F.array(pairs), lambda ps: F.when(F.size(ps) > 0, walked(ps)).otherwise(empty)), F.lit(0))
 
 
 def candidates(text: Column, kind: str) -> Column:

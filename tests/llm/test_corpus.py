@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemora.llm import components, fingerprints, leaks, lines, pieces, private, quality, queries, similarity, suffixes, toxicity, warc
+from mnemora.llm import components, fingerprints, leaks, lines, pieces, private, quality, queries, samples, similarity, suffixes, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, first string, sig string, block int"
@@ -33,8 +33,8 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-def test_lines_against_sql(spark):
-    for name in ("op1_line_dedup", "op7_warc"):
+def test_against_sql(spark):
+    for name in queries.ORACLE_SQL:
         db = duckdb.connect()
         for t in ("documents", "pages"):
             db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
@@ -52,6 +52,13 @@ def test_line_templates(spark, edge):
     assert lines.drop_recurring(edge.limit(0)).count() == 0
 
 
+def test_lines_of_repeated_rows(spark):
+    """Rows of one id are one document: a line that they alone repeat stays, and all with the least id keep theirs."""
+    many = spark.createDataFrame([*[(1, "one line here now")] * 9, (2, "one line here now"), (None, "one line here now")], "doc_id bigint, text string")
+    assert sum(r.n_dropped for r in lines.drop_recurring(many, min_docs=3).collect()) == 0
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in lines.drop_recurring(many, min_docs=2).collect()) == [(0, 1), *[(1, 0)] * 9, (2, 1)]
+
+
 def test_long_lines(spark, edge):
     long, wide = " ".join(f"w{i}" for i in range(50)), "ab" * 150
     said = [f"{long}\nshort line", f"other\n{long}\nshort line", f"{long} more\n{wide}", f"{wide}\n{long}x", " " * 400, " " * 400]
@@ -251,6 +258,23 @@ def test_pieces(spark, docs, edge):
     assert pieces.encode(edge.limit(0), path).count() == 0
 
 
+def test_pieces_of_the_vocabulary():
+    """Pieces put together at random, with odd characters between them, and decoding of ids at random, as the library has them."""
+    import sentencepiece
+
+    model = open(queries.tokenizer_path(), "rb").read()
+    lib, own, r = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Codec(model), random.Random(4)
+    words = [lib.id_to_piece(i).replace("▁", " ") for i in range(lib.get_piece_size())]
+    odd = lambda: chr(r.choice([r.randrange(128), r.randrange(32, 0xD7FF), r.randrange(0xE000, 0x110000)]))
+    texts = ["".join(r.choice(words) if r.random() < 0.9 else odd() for _ in range(r.randint(1, 40))) for _ in range(1500)] + [" " * 30 + "x" + " " * 90, "a" * 5000, "ab" * 900, "▁" * 50]
+    for t, (ids, starts, ends) in zip(texts, own.encode(texts), strict=True):
+        assert ids == lib.encode(t) and own.decode(ids) == lib.decode(ids)
+        assert b"".join(t.encode()[a:z] for a, z in zip(starts, ends, strict=True)) == t.encode()
+    for _ in range(1500):
+        ids = [r.randrange(32000) if r.random() < 0.5 else r.randrange(300) for _ in range(r.randint(0, 9))]
+        assert own.decode(ids) == lib.decode(ids)
+
+
 def test_character_map():
     """A map of the library's own, walked here, gives the library's normal form."""
     import sentencepiece
@@ -307,6 +331,18 @@ def test_private_cards_and_ips(spark):
     assert private.redacted(found).where("doc_id = 0").first().text == "order 12 [card]"
 
 
+def test_private_long_text(spark):
+    """The time that a text takes grows little faster than its matches."""
+    import time
+
+    text = lambda n: " ".join(f"a{i}@b.org" for i in range(n))
+    rows_ = spark.createDataFrame(rows([text(60000)]), DOC)  # over 700 KB
+    began = time.time()
+    got = private.digests(private.find(rows_)).first()
+    spans = got.spans.split(",")
+    assert got.n_email == 60000 and spans[1] == "email:9:17" and spans[-1] == f"email:{len(text(59999)) + 1}:{len(text(60000))}" and time.time() - began < 120
+
+
 def test_private_base(docs):
     luhn = lambda d: sum(int(c) * 2 - 9 * (int(c) > 4) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -333,6 +369,39 @@ def test_classifiers(spark, docs, edge):
         assert len(got) == edge.count() and all(0 <= r.score <= 1 for r in got)
 
 
+def test_convolution():
+    """Maxima over chunks as plain loops give them."""
+    net, raw = quality.Network(3), [b"", b"ab", b"some bytes " * 90, bytes(range(256)) * 3]
+    got, owner = net.pooled(raw)
+    for i, x in enumerate(raw):
+        x = x.ljust(quality.WIDTH, b"\0")
+        resp = np.array([sum(net.table[j, x[p + j]] for j in range(quality.WIDTH)) + net.bias for p in range(len(x) - quality.WIDTH + 1)])
+        whole = got[owner == i].max(0)
+        assert np.allclose(whole, resp.max(0), atol=1e-4)  # the chunks cover all places
+
+
+def test_toxic_rows():
+    """Sparse products against a dense matrix."""
+    texts = ["one two two", "", "Three one"]
+    m, feats = toxicity.Rows.of(texts), toxicity.Features()
+    dense = np.zeros((3, 1 << toxicity.BITS))
+    for i, t in enumerate(texts):
+        dense[i, feats(t)] = 1
+    w, d = np.random.default_rng(1).normal(size=1 << toxicity.BITS), np.array([1.0, 2.0, -3.0])
+    assert np.allclose(m.logits(w, 0.5), dense @ w + 0.5) and np.allclose(m.gradient(d), d @ dense)
+
+
+def test_trained_models_on_edges(spark, docs, edge):
+    """Models that were trained score empty, blank, repeated and very long texts, null ids, and no rows at all."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    many = docs.unionByName(docs)  # ids repeated
+    for scored in (toxicity.score(edge, toxicity.fit(many, labels, positives=40, unlabeled=80)), quality.score(edge, quality.train(samples.labelled(many, labels, "quality", 4, 2, 30), 1))):
+        got = scored.collect()
+        assert len(got) == edge.count() and all(0 <= r.score <= 1 for r in got) and len({r.score for r in got if r.doc_id in (4, 5)}) == 1
+        assert scored.limit(0).count() == 0
+    assert samples.labelled_rows(many, labels, "quality", 1, 4, 2, 5).count() == 5
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
