@@ -111,4 +111,4 @@ def entities_on(nodes: DataFrame, facts: DataFrame, date_iso: str) -> DataFrame:
     period = dates.span_start(bound(date_iso, "date_iso")), dates.span_end(F.lit(date_iso))
     days = nodes.where("type = 'DATE' and not source_document").where(dates.within(F.col("date_iso"), *period)).select(F.col("id").alias("target_id"))
     said = facts.join(days, "target_id", "left_semi").select(F.col("source_id").alias("id"), "relation").distinct()
-    return nodes.select("id", "name", "type").join(said, "id").orderBy("id", "relation")
+    return nodes.select("id", "name", "type").join(said, "id").distinct().orderBy("id", "relation")

@@ -9,7 +9,6 @@ holds unchanged, shifted by no more than that: candidates are an equi-join of pi
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -17,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import scratch
 from ..functions import dates, text
 
 RATIO, SHORTEST = 0.92, 8
@@ -73,7 +73,7 @@ def _cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the cluster's checkpoint folder; a local one is set only where none is."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mnemora-"))
+        spark.sparkContext.setCheckpointDir(scratch(spark, "merging"))
     return df.checkpoint()
 
 

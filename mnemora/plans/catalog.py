@@ -257,3 +257,6 @@ def conversation_pages(spark, sf_dir):
 
 def flagship(spark, sf_dir):
     return decision_trails(spark, sf_dir)
+
+
+from . import institution  # noqa: E402, F401  registers its queries

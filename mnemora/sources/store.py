@@ -9,6 +9,7 @@ commit at once the second finds the number taken, and tries again on the new sta
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -191,3 +192,13 @@ class Store:
         self.append("decisions", dec)
         said = nodes.select(F.explode("provenance").alias("p")).select("p.*").distinct()
         self.append("sources", said.select(d.alias("document_id"), "filename", F.col("page").cast("bigint").alias("page_number"), F.col("evidence").alias("text")))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table that is needed for a while: in the cluster's shared folder, or on this machine if all runs here."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="mnemora-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
