@@ -4,8 +4,8 @@ A text is normalised (NFKC), case-folded and its white space collapsed; a 128-bi
 each bucket with more than one member the canonical bytes themselves are compared. Texts that share a digest but not their
 bytes get a suffix, so equal fingerprints always mean equal canonical texts.
 
-Defined cases: null text is the empty text; null ids sort after all others; rows with equal ids are ordered by text; an
-empty table gives an empty result; a table of one row is its own next document.
+Defined cases: null text is the empty text; null ids come after all others, by a hash of their text; rows with equal ids are
+ordered by text; an empty table gives an empty result; a table of one row is its own next document; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from .common import apart, texts
 
 #: Ids per block. A block is the unit in which neighbouring documents meet, so it stays small whatever the table's size.
 BLOCK = 256
+#: Blocks in a group, and groups in a group of groups.
+WIDE = 65536
 _LEAST = -(2**62)
 
 
@@ -59,38 +61,50 @@ def _marked(digest: Column, place: Column) -> Column:
     return F.when(F.coalesce(place, F.lit(0)) > 0, F.concat(_hex(digest), F.lit("-"), place.cast("string"))).otherwise(_hex(digest))
 
 
-def _blocked(docs: DataFrame, block: int) -> DataFrame:
-    at = F.coalesce(F.floor(F.col("doc_id") / block), F.lit(_LEAST))
-    return docs.select(at.alias("block"), "doc_id", "text").repartition("block")
+def _blocked(docs: DataFrame, block: int) -> tuple[DataFrame, int, int]:
+    """(rows, least and greatest block): rows have block, doc_id, order, text. Null ids stand below all others, in blocks of their own
+    by a hash of their text, so that they share no block but with equal texts. Without null ids no text is read for it."""
+    low, high, nulls = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    order = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")) if nulls else F.col("doc_id").cast("bigint")
+    at = F.floor(order / block) + F.when(F.col("doc_id").isNull(), F.lit(_LEAST)).otherwise(F.lit(0))
+    low = _LEAST - 2**63 // block if nulls else int(low or 0) // block - 1
+    high = int(high) // block + 1 if high is not None else _LEAST + 2**63 // block
+    return docs.select(at.alias("block"), "doc_id", order.alias("order"), "text").repartition("block"), low, high
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, digest=wide_digest) -> DataFrame:
     """doc_id, fingerprint of every row."""
-    base = _blocked(texts(docs, id_col, text_col), block)
+    base = _blocked(texts(docs, id_col, text_col), block)[0]
     rows = base.withColumn("key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("t")))
     found = rows.select("doc_id", canonical(F.col("text")).alias("canon"))
     found = found.select("doc_id", digest(F.col("canon")).alias("digest"), F.sha2("canon", 256).alias("canon_sha"))
     return found.join(collisions(rows, digest), ["digest", "canon_sha"], "left").select("doc_id", _marked(F.col("digest"), F.col("place")).alias("fingerprint"))
 
 
-def _next_blocks(docs: DataFrame, block: int) -> DataFrame:
-    """block, next_block: the next lower block that has rows; after the lowest comes the highest. Two levels, so that the only
-    window over everything sees one row for each 65,536 blocks."""
-    blocks = docs.select(F.coalesce(F.floor(F.col("doc_id") / block), F.lit(_LEAST)).alias("block")).distinct().withColumn("top", F.floor(F.col("block") / 65536))
-    tops = blocks.groupBy("top").agg(F.max("block").alias("high"))
-    w = Window.orderBy("top")
-    tops = tops.select("top", F.coalesce(F.lag("high").over(w), F.max("high").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    inside = blocks.withColumn("prev", F.lag("block").over(Window.partitionBy("top").orderBy("block")))
+def _next_blocks(blocks: DataFrame, low: int, high: int) -> DataFrame:
+    """block, next_block: the next lower block that has rows; after the lowest comes the highest. Blocks are grouped by ``WIDE``, the
+    groups by as many, and so on until so few are possible between the least and the greatest block: no window sees more rows than
+    that, whether ids are dense or spread over all 64 bits."""
+    if high - low <= WIDE:
+        w = Window.partitionBy(F.lit(0)).orderBy("block")
+        last = F.max("block").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return blocks.select("block", F.coalesce(F.lag("block").over(w), last).alias("next_block"))
+    grouped = blocks.withColumn("top", F.floor(F.col("block") / WIDE))
+    highs = grouped.groupBy("top").agg(F.max("block").alias("high"))
+    tops = _next_blocks(highs.select(F.col("top").alias("block")), low // WIDE - 1, high // WIDE + 1)
+    tops = tops.join(highs.withColumnRenamed("top", "next_block"), "next_block").select(F.col("block").alias("top"), F.col("high").alias("before"))
+    inside = grouped.withColumn("prev", F.lag("block").over(Window.partitionBy("top").orderBy("block")))
     return inside.join(tops, "top").select("block", F.coalesce("prev", "before").alias("next_block"))
 
 
 def with_next(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """block, doc_id, text, next_text: each document with the next one's text, by descending id; after the last, the first."""
-    base = _blocked(docs, block)
-    w = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
+    """block, doc_id, text, at, next_text: each document with the next one's text, by descending id; after the last, the first."""
+    base, low, high = _blocked(docs, block)
+    w = Window.partitionBy("block").orderBy(F.desc("order"), F.desc("text"))
     chained = base.select("*", F.lead("text").over(w).alias("follows"), F.row_number().over(w).alias("at"))
     heads = chained.where("at = 1").select(F.col("block").alias("next_block"), F.col("text").alias("head"))
-    heads = _next_blocks(docs, block).join(heads, "next_block").select("block", "head")
+    blocks = base.select("block").distinct()
+    heads = _next_blocks(blocks, low, high).join(heads, "next_block").select("block", "head")
     return chained.join(heads, "block").select("block", "doc_id", "text", "at", F.coalesce("follows", "head").alias("next_text"))
 
 

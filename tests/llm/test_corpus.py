@@ -154,6 +154,22 @@ def test_fingerprints(spark, docs, edge):
     assert fingerprints.edited_fingerprints(edge.limit(0)).count() == 0
 
 
+def test_fingerprints_of_sparse_ids(spark, monkeypatch):
+    """Ids all over 64 bits, negative and null ones: the chain goes through all rows once, by descending id."""
+    monkeypatch.setattr(fingerprints, "WIDE", 4)
+    r = random.Random(7)
+    ids = [r.randrange(-(2**63), 2**63) for _ in range(60)] + list(range(-20, 20)) + [None] * 9
+    many = [(x, f"text {i}") for i, x in enumerate(ids)]
+    got = {(x.doc_id, x.text): x.next_text for x in fingerprints.with_next(spark.createDataFrame(many, "doc_id bigint, text string"), 16).collect()}
+    known = sorted(((x, t) for x, t in many if x is not None), reverse=True)
+    assert len(got) == len(many) and all(got[a] == b[1] for a, b in zip(known, known[1:], strict=False))
+    at, seen, by_text = known[0], [], {t: (x, t) for x, t in many}
+    for _ in many:
+        seen.append(at)
+        at = by_text[got[at]]
+    assert at == known[0] and set(seen) == set(many) and [x for x, _ in seen[len(known) :]] == [None] * 9
+
+
 def test_fingerprint_collisions(docs):
     """With a digest of three values nearly all buckets collide; comparing bytes keeps unlike texts apart."""
     poor = lambda c: F.struct((F.char_length(c) % 3).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
