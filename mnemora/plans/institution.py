@@ -81,14 +81,17 @@ def decided_in_year(spark, sf_dir):
 @query("SELECT 'DECISION:' || o_orderkey AS decision_id, round(1 / 3.0, 6) AS direct, 1.0::DOUBLE AS support, 1.0::DOUBLE AS coverage, 3.5::DOUBLE AS score FROM orders WHERE o_orderpriority = '1-URGENT'")
 def topic_matches(spark, sf_dir):
     """Decisions scored by a topic of two weighted terms."""
-    found = question.evaluated(*record(spark, sf_dir), {"order": 1.0, "urgent": 2.0}, "urgent order")
+    nodes, facts = record(spark, sf_dir)
+    found = question.evaluated(decisions.ids(nodes), question.profiles(nodes, facts), {"order": 1.0, "urgent": 2.0}, "urgent order")
     return found.select("decision_id", F.round("direct", 6).alias("direct"), "support", "coverage", F.round("score", 6).alias("score"))
 
 
 @query("SELECT 'PERSON:' || c_custkey AS id, c_name AS name FROM customer WHERE regexp_extract_all(lower(c_name), '[\\p{L}\\p{N}]+') <@ ['customer', '000000007', '000000011']")
 def named_in_question(spark, sf_dir):
     """Entities whose whole names are among a question's words."""
-    return question.mentions(record(spark, sf_dir)[0], ["customer", "000000007", "000000011", "plan"]).select("id", "name")
+    nodes = record(spark, sf_dir)[0]
+    words = F.transform(F.concat(F.array("name"), "aliases"), lambda n: text.content_tokens(text.normalize_name(n, F.col("type"))))
+    return question.mentions(nodes.withColumn("words", words), ["customer", "000000007", "000000011", "plan"]).select("id", "name")
 
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '[^\p{L}\p{N}_\s.,!?;:()@/\-]', '', 'g'), '\s+', ' ', 'g'))"

@@ -113,10 +113,42 @@ def check_limit(value, name: str) -> int:
     return value
 
 
-def _stems(spark, *texts: str) -> list[list[str]]:
-    """The stems of a few short texts, by the same expression that the graph's texts go through."""
-    row = spark.range(1).select(*[text.content_tokens(F.lit(t)).alias(f"t{i}") for i, t in enumerate(texts)]).first()
-    return [list(dict.fromkeys(x)) for x in row]
+@dataclass
+class Prepared:
+    """What questions read, worked out once for a graph. nodes: its own columns, and ``words``, the stems of each name and alias.
+    vocabulary: term, df (names that have it), named (in the name of a decision or event). The rest: see ``profiles``,
+    ``trails.steps``, ``decisions.events`` and ``decisions.links``."""
+
+    nodes: DataFrame
+    facts: DataFrame
+    vocabulary: DataFrame
+    profiles: DataFrame
+    steps: DataFrame
+    events: DataFrame
+    links: DataFrame
+
+
+def prepare(nodes: DataFrame, facts: DataFrame, path: str | None = None) -> Prepared:
+    """The tables for ``retrieve``: written below ``path`` and read from there, or kept by Spark while they are used."""
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        if path is None:
+            return df.persist()
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    words = F.transform(F.concat(F.array("name"), "aliases"), lambda n: text.content_tokens(text.normalize_name(n, F.col("type"))))
+    nodes, facts = kept("nodes", nodes.withColumn("words", words)), kept("facts", facts)
+    steps = kept("steps", trails.steps(nodes, facts))
+    return Prepared(nodes, facts, kept("vocabulary", vocabulary(nodes, facts)), kept("profiles", profiles(nodes, facts)), steps, kept("events", decisions.events(nodes, facts, steps)), kept("links", decisions.links(nodes, facts)))
+
+
+def _words(spark, rest: str) -> tuple[list[str], list[str], str]:
+    """A question's stems, those of words that say what is asked, and its normal form, by the expressions that the graph's texts go
+    through."""
+    stems = lambda t: F.array_distinct(text.content_tokens(F.lit(t)))
+    row = spark.range(1).select(stems(rest).alias("w"), stems(" ".join(lexicon.GENERIC + lexicon.ROLES)).alias("g"), text.normalize_text(F.lit(rest)).alias("n")).first()
+    return list(row["w"]), list(row["g"]), row["n"]
 
 
 def in_spans(iso: Column, spans: list[Span]) -> Column:
@@ -124,31 +156,31 @@ def in_spans(iso: Column, spans: list[Span]) -> Column:
 
 
 def mentions(nodes: DataFrame, words: list[str]) -> DataFrame:
-    """id, name, type, toks of the bodies, people and events of which a name or alias consists of the words' stems only."""
-    own = lambda n: text.content_tokens(text.normalize_name(n, F.col("type")))
+    """id, name, type, toks of the bodies, people and events of which a name or alias consists of the given stems only. nodes: as
+    ``prepare`` keeps them."""
     asked = F.array(*[F.lit(w) for w in words]).cast("array<string>")
-    whole = lambda n: F.exists(F.array(own(n)), lambda t: (F.size(t) > 0) & (F.size(F.array_except(t, asked)) == 0))
-    named = nodes.where(F.col("type").isin(*lexicon.MENTIONED) & ~F.col("source_document"))
-    return named.where(F.exists(F.concat(F.array("name"), "aliases"), whole)).select("id", "name", "type", own(F.col("name")).alias("toks"))
-
-
-def _vocabulary(nodes: DataFrame, facts: DataFrame, terms: list[str], years: list[str]) -> tuple[int, dict[str, int], set[str], set[str]]:
-    """The number of nodes; how many names have each term; which terms occur anywhere; which years are in names of decisions or
-    events. Two aggregations to one row each."""
-    real = nodes.where("not source_document")
-    named = real.select("type", graph.name_tokens(real).alias("toks"), F.concat(F.array(F.coalesce("description", F.lit(""))), F.transform("provenance", lambda p: F.coalesce(p["evidence"], F.lit("")))).alias("said"))
-    asked = [*dict.fromkeys([*terms, *years])]
-    plain = F.col("type") != "DATE"
-    said = F.flatten(F.transform("said", text.content_tokens))
-    every = named.select("type", "toks", F.when(plain, F.concat("toks", said)).otherwise(F.array().cast("array<string>")).alias("all"))
-    cols = [F.count("*").alias("n")]
-    for i, t in enumerate(asked):
-        cols += [F.count_if(plain & F.array_contains("toks", t)).alias(f"df{i}"), F.bool_or(text.term_in(F.lit(t), F.col("all"))).alias(f"in{i}"), F.bool_or(F.col("type").isin("DECISION", "EVENT") & F.array_contains("toks", t)).alias(f"name{i}")]
-    a = every.agg(*cols).first()
-    spoken = facts.select(F.flatten(F.transform("provenance", lambda p: text.content_tokens(F.coalesce(p["evidence"], F.lit(""))))).alias("toks"))
-    b = spoken.agg(F.count("*").alias("n"), *[F.bool_or(text.term_in(F.lit(t), F.col("toks"))).alias(f"in{i}") for i, t in enumerate(asked)]).first()
-    known = {t for i, t in enumerate(asked) if a[f"in{i}"] or b[f"in{i}"]}
-    return a["n"], {t: a[f"df{i}"] for i, t in enumerate(asked)}, known, {t for i, t in enumerate(asked) if a[f"name{i}"] and t in years}
+    whole = F.exists("words", lambda t: (F.size(t) > 0) & (F.size(F.array_except(t, asked)) == 0))
+    return nodes.where(F.col("type").isin(*lexicon.MENTIONED) & ~F.col("source_document") & whole).select("id", "name", "type", F.get("words", F.lit(0)).alias("toks"))
+
+
+def vocabulary(nodes: DataFrame, facts: DataFrame) -> DataFrame:
+    """term, df, named: every stem that names, descriptions and sentences have; dates' own names aside."""
+    real = nodes.where("not source_document and type <> 'DATE'")
+    names = real.select("type", F.explode(graph.name_tokens(real)).alias("term")).select("term", F.lit(1).alias("df"), F.col("type").isin("DECISION", "EVENT").alias("named"))
+    sentences = lambda df: df.select(F.explode("provenance.evidence").alias("said"))
+    said = real.select(F.col("description").alias("said")).unionByName(sentences(real)).unionByName(sentences(facts))
+    said = said.select(F.explode(F.array_distinct(text.content_tokens(F.coalesce("said", F.lit(""))))).alias("term")).select("term", F.lit(0).alias("df"), F.lit(False).alias("named"))
+    return names.unionByName(said).groupBy("term").agg(F.sum("df").alias("df"), F.bool_or("named").alias("named"))
+
+
+def _known(ready: Prepared, asked: list[str]) -> dict[str, tuple[int, bool, bool]]:
+    """Of each term how many names have it, whether it occurs, at least as a beginning, and whether it is in a name of a decision."""
+    if not asked:
+        return {}
+    same = lambda t: F.col("term") == t
+    begun = lambda t: same(t) | F.col("term").startswith(t) if len(t) >= 3 else same(t)
+    row = ready.vocabulary.agg(*[c for i, t in enumerate(asked) for c in (F.sum(F.when(same(t), F.col("df")).otherwise(0)).alias(f"d{i}"), F.bool_or(begun(t)).alias(f"k{i}"), F.bool_or(same(t) & F.col("named")).alias(f"n{i}"))]).first()
+    return {t: (row[f"d{i}"] or 0, bool(row[f"k{i}"]), bool(row[f"n{i}"])) for i, t in enumerate(asked)}
 
 
 def profiles(nodes: DataFrame, facts: DataFrame) -> DataFrame:
@@ -170,14 +202,13 @@ def profiles(nodes: DataFrame, facts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def evaluated(nodes: DataFrame, facts: DataFrame, weights: dict[str, float], phrase: str) -> DataFrame:
+def evaluated(names: DataFrame, rows: DataFrame, weights: dict[str, float], phrase: str) -> DataFrame:
     """decision_id, decision, direct, support, coverage, score, unmatched: which share of the terms' weight each decision has in its
-    name, in its name, reasons and actions, and anywhere. A name of six letters or more that is in the question counts 2 more."""
-    names = decisions.ids(nodes)
+    name, in its name, reasons and actions, and anywhere. A name of six letters or more that is in the question counts 2 more. names:
+    ``decisions.ids``; rows: ``profiles``."""
     zero = F.lit(0.0)
     if not weights:
         return names.select("decision_id", "decision", zero.alias("direct"), zero.alias("support"), F.lit(1.0).alias("coverage"), zero.alias("score"), F.array().cast("array<string>").alias("unmatched"))
-    rows = profiles(nodes, facts)
     places = {"d": ("name",), "s": ("name", "support"), "c": ("name", "support", "context", "evidence")}
     hits = [F.bool_or(F.col("part").isin(*parts) & text.term_in(F.lit(t), F.col("toks"))).alias(f"{p}{i}") for i, t in enumerate(weights) for p, parts in places.items()]
     found = rows.groupBy("decision_id").agg(*hits).join(names, "decision_id")
@@ -195,7 +226,7 @@ def _said(a: datetime.date, z: datetime.date) -> str:
     return str(a) if a == z else f"{a}..{z}"
 
 
-def retrieve(nodes: DataFrame, facts: DataFrame, question: str, top_k: int = 8, max_decisions: int = 3, min_coverage: float = 0.6) -> Retrieval:
+def retrieve(nodes: DataFrame, facts: DataFrame, question: str, top_k: int = 8, max_decisions: int = 3, min_coverage: float = 0.6, prepared: Prepared | None = None) -> Retrieval:
     """The decisions, sentences and entities that answer a question, or the reason why there is no answer.
 
     Topic words are found in decisions first. Then come the filters: entities that the question names, dates, and the facts that it
@@ -216,39 +247,41 @@ def retrieve(nodes: DataFrame, facts: DataFrame, question: str, top_k: int = 8,
     if nodes.isEmpty():
         return fail("The knowledge graph is empty.")
     q = parse(question)
-    words, generic = _stems(spark, q.rest, " ".join(lexicon.GENERIC + lexicon.ROLES))
-    phrase = spark.range(1).select(text.normalize_text(F.lit(q.rest))).first()[0]
+    words, generic, phrase = _words(spark, q.rest)
     if not phrase and not q.spans and not q.years:
         return fail("The question contains no searchable words." if question.strip() else "The question is empty.")
     if q.error:
         return fail(q.error)
+    ready = prepared or prepare(nodes, facts)
     topic = [w for w in words if w not in generic]
-    n, df, known, named_years = _vocabulary(nodes, facts, topic, q.years)
-    topic += [y for y in q.years if y in named_years and y not in topic]
+    known = _known(ready, list(dict.fromkeys([*topic, *q.years])))
+    named_years = [y for y in q.years if known[y][2]]
+    topic += [y for y in named_years if y not in topic]
     spans = list(dict.fromkeys([*q.spans, *(span(y) for y in q.years if y not in named_years)]))
 
-    named = mentions(nodes, words).persist()
+    named = mentions(ready.nodes, words).persist()
     names = named.agg(F.array_sort(F.collect_set(F.struct("id", "name"))).alias("n"), F.array_distinct(F.flatten(F.collect_set("toks"))).alias("t")).first()  # names of the question's own words
     terms = out.terms = [t for t in topic if t not in set(names["t"])]
-    if foreign := [t for t in terms if t not in known]:
+    if foreign := [t for t in terms if not known[t][1]]:
         return fail(f"Question terms not found in the knowledge graph: {', '.join(foreign)}.")
     if not terms and not names["n"] and not spans and "listing" not in q.asks:
         return fail("The question does not name a topic, an entity or a date to search for.")
-    weights = {t: 1.0 + log((n + 1) / (df[t] + 1)) for t in terms}
-    matches = evaluated(nodes, facts, weights, phrase).persist()
+    n = ready.nodes.where("not source_document").count() if terms else 0
+    weights = {t: 1.0 + log((n + 1) / (known[t][0] + 1)) for t in terms}
+    matches = evaluated(decisions.ids(ready.nodes), ready.profiles, weights, phrase).persist()
     if terms and matches.isEmpty():
         return fail(f"No decision matches the topic terms: {', '.join(terms)}.")
 
     # The filters, each as the decisions that pass it.
     some = matches.select("decision_id")
-    own = trails.steps(nodes, facts, some if terms else None).persist()
-    dated = decisions.events(nodes, facts, own).join(some, "decision_id", "left_semi").persist()
+    own = ready.steps.join(some, "decision_id", "left_semi") if terms else ready.steps
+    dated = ready.events.join(some, "decision_id", "left_semi") if terms else ready.events
     shown = own.where(F.exists("provenance", lambda p: p["evidence"] != ""))
     having = lambda *kinds: shown.where(F.col("kind").isin(*kinds)).select("decision_id").distinct()
     outcomes = lexicon.EVENT_KINDS["decide"][:3]
     tests: list[tuple[Callable[[], DataFrame], str]] = []
     if names["n"]:
-        linked = lambda: decisions.links(nodes, facts).join(named.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("decision_id").distinct()
+        linked = lambda: ready.links.join(named.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("decision_id").distinct()
         tests.append((linked, f"No decision matching the question is linked to {', '.join(x['name'] for x in names['n'])}."))
     dates_at = len(tests)
     if spans:
@@ -275,19 +308,19 @@ def retrieve(nodes: DataFrame, facts: DataFrame, question: str, top_k: int = 8,
         kept = [r for r in table if r[f]]
         if not kept or terms and max(r["direct"] for r in kept) < max(r["direct"] for r in table) - 1e-9:
             if spans and i == dates_at and not q.asks.intersection(("decide", "propose", "due", "decision")) and not terms and not names["n"]:
-                held = nodes.where(F.col("type").isin("MEETING", "EVENT") & ~F.col("source_document")).where(in_spans(F.col("date_iso"), spans))
+                held = ready.nodes.where(F.col("type").isin("MEETING", "EVENT") & ~F.col("source_document")).where(in_spans(F.col("date_iso"), spans))
                 if not held.isEmpty():
                     fallback = held
                     break
             return fail(reason)
         table = kept
     passed = reduce(lambda a, b: a & b, [F.col(f) for f in flags], F.lit(fallback is None))
-    return _filled(out, nodes, facts, q, spans, weights, flagged.where(passed).drop(*flags), own, named, fallback, top_k, max_decisions, min_coverage)
+    return _filled(out, ready, q, spans, weights, flagged.where(passed).drop(*flags), own, named, fallback, top_k, max_decisions, min_coverage)
 
 
-def _filled(out: Retrieval, nodes: DataFrame, facts: DataFrame, q: Question, spans: list[Span], weights: dict[str, float], kept: DataFrame, own: DataFrame, named: DataFrame, fallback: DataFrame | None, top_k: int, max_decisions: int, min_coverage: float) -> Retrieval:
+def _filled(out: Retrieval, ready: Prepared, q: Question, spans: list[Span], weights: dict[str, float], kept: DataFrame, own: DataFrame, named: DataFrame, fallback: DataFrame | None, top_k: int, max_decisions: int, min_coverage: float) -> Retrieval:
     """Ranks and cuts the decisions that are left, and adds their sentences and entities."""
-    spark = nodes.sparkSession
+    nodes, facts, spark = ready.nodes, ready.facts, ready.nodes.sparkSession
     firsts = own.groupBy("decision_id").agg(F.min("date_iso").alias("first_date"))
     best = kept.join(firsts, "decision_id", "left").orderBy(F.desc("score"), F.asc_nulls_last("first_date"), "decision", "decision_id").limit(max_decisions).collect()
     chosen = [(r["decision_id"], float(r["score"]), float(r["coverage"]), list(r["unmatched"])) for r in best if not weights or r["score"] >= lexicon.KEEP * best[0]["score"]]
@@ -297,9 +330,7 @@ def _filled(out: Retrieval, nodes: DataFrame, facts: DataFrame, q: Question, spa
         others = others.join(first, others["other_id"] == first["decision_id"], "left_anti").orderBy("at", "other_id").limit(max_decisions).collect()
         chosen += [(r["other_id"], 0.5, 0.0, []) for r in others][: max_decisions - len(chosen)]
     picked = spark.createDataFrame([(i, *c) for i, c in enumerate(chosen)], "rank int, decision_id string, score double, coverage double, unmatched array<string>")
-    if "history" in q.asks:  # others have come in
-        own = trails.steps(nodes, facts, picked.select("decision_id"))
-    steps = own.join(F.broadcast(picked.select("decision_id", "rank")), "decision_id").persist()
+    steps = ready.steps.join(F.broadcast(picked.select("decision_id", "rank")), "decision_id").persist()
     status = trails.trails(nodes, facts, steps.drop("rank"))
     out.steps, out.decisions = steps.orderBy("rank", "step_no"), picked.join(status, "decision_id").orderBy("rank")
     out.evidence = _evidence(nodes, facts, picked, steps, spans, weights, q, fallback, len(chosen)).persist()
@@ -307,7 +338,7 @@ def _filled(out: Retrieval, nodes: DataFrame, facts: DataFrame, q: Question, spa
     days = nodes.where("type = 'DATE' and not source_document").where(in_spans(F.col("date_iso"), spans))
     out.matched_dates = sorted(days.agg(F.collect_set("date_iso")).first()[0])  # no more than the spans have days
     scored = picked.select(F.col("decision_id").alias("id"), F.round(F.col("score") + 1.0 / (1 + F.col("rank")), 3).alias("score"))
-    near = decisions.links(nodes, facts).join(F.broadcast(picked), "decision_id", "left_semi").select(F.col("entity_id").alias("id"))
+    near = ready.links.join(F.broadcast(picked), "decision_id", "left_semi").select(F.col("entity_id").alias("id"))
     scored = scored.unionByName(named.join(near, "id", "left_semi").select("id", F.lit(2.0).alias("score")))
     if fallback is not None:
         scored = scored.unionByName(fallback.select("id", F.lit(1.0).alias("score")))
@@ -360,10 +391,10 @@ def _evidence(nodes: DataFrame, facts: DataFrame, picked: DataFrame, steps: Data
     return placed.select("place", "p.*", "rank", "score").orderBy("place")
 
 
-def answer(nodes: DataFrame, facts: DataFrame, question: str, max_decisions: int = 3, coverage: float = 0.6) -> DataFrame:
+def answer(nodes: DataFrame, facts: DataFrame, question: str, max_decisions: int = 3, coverage: float = 0.6, prepared: Prepared | None = None) -> DataFrame:
     """decision_id, decision, score, coverage, sufficient, step_no, date_iso, kind, description, evidence: the steps of the decisions
     that answer a question; no rows where nothing does."""
-    found = retrieve(nodes, facts, question, max_decisions=max_decisions, min_coverage=coverage)
+    found = retrieve(nodes, facts, question, max_decisions=max_decisions, min_coverage=coverage, prepared=prepared)
     if found.steps is None:
         empty = "decision_id string, decision string, score double, coverage double, sufficient boolean, step_no int, date_iso string, kind string, description string, evidence array<string>"
         return nodes.sparkSession.createDataFrame([], empty)

@@ -18,10 +18,13 @@ def built(spark, tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def own(spark, built, tmp_path_factory):
-    at = str(tmp_path_factory.mktemp("s"))
-    trails.steps(*built).write.mode("overwrite").parquet(at)
-    return spark.read.parquet(at)
+def ready(built, tmp_path_factory):
+    return question.prepare(*built, str(tmp_path_factory.mktemp("ready")))
+
+
+@pytest.fixture(scope="module")
+def own(ready):
+    return ready.steps
 
 
 def names(found):
@@ -47,8 +50,8 @@ def test_parse():
         ("List all decisions between March 2024 and April 2024", ["data science minor", "purchase of a bus"]), ("Which decisions were rejected?", ["purchase of a bus"]), ("What is the deadline for the data science syllabus?", ["data science minor"]),
     ],
 )
-def test_answered(built, asked, found):
-    got = question.retrieve(*built, asked)
+def test_answered(built, ready, asked, found):
+    got = question.retrieve(*built, asked, prepared=ready)
     assert got.sufficient and got.reason is None and names(got) == found, got.reason
     assert not got.evidence.isEmpty() and got.entities.first().type == "DECISION"
 
@@ -64,50 +67,50 @@ def test_answered(built, asked, found):
         ("syllabus attendance minutes", None),
     ],
 )
-def test_not_answered(built, asked, why):
-    got = question.retrieve(*built, asked)
+def test_not_answered(built, ready, asked, why):
+    got = question.retrieve(*built, asked, prepared=ready)
     assert not got.sufficient and got.decisions is None
     assert why is None or got.reason == why
 
 
-def test_limits(built):
+def test_limits(built, ready):
     for bad in ({"top_k": 0}, {"max_decisions": True}, {"min_coverage": 2}):
         with pytest.raises(ValueError):
-            question.retrieve(*built, "bus", **bad)
+            question.retrieve(*built, "bus", prepared=ready, **bad)
     with pytest.raises(TypeError):
         question.retrieve(*built, None)
     assert question.retrieve(built[0].limit(0), built[1].limit(0), "bus").reason == "The knowledge graph is empty."
 
 
-def test_date_alone(built):
+def test_date_alone(built, ready):
     """No decision was made on that day, but a meeting was held."""
-    got = question.retrieve(*built, "What happened on 7 May 2024?")
+    got = question.retrieve(*built, "What happened on 7 May 2024?", prepared=ready)
     assert got.sufficient and names(got) == [] and got.matched_dates == ["2024-05-07"]
     assert {r.document_id for r in got.evidence.collect()} == {"D5"}
     assert [(r.type, r.name) for r in got.entities.collect()] == [("MEETING", "Library Committee meeting on 7 May 2024"), ("DATE", "2024-05-07")]
-    said = answers.answer(*built, "What happened on 7 May 2024?")
+    said = answers.answer(*built, "What happened on 7 May 2024?", prepared=ready)
     assert said.sufficient and said.text.splitlines()[1].startswith("- ") and said.text.endswith("[S1]")
 
 
-def test_evidence_order(built):
-    rows = question.retrieve(*built, "Why was the data science minor approved?").evidence.collect()
+def test_evidence_order(built, ready):
+    rows = question.retrieve(*built, prepared=ready, question="Why was the data science minor approved?").evidence.collect()
     assert [r.place for r in rows] == list(range(1, len(rows) + 1)) and len(rows) <= 12
     assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True) and "because" in rows[0].evidence
 
 
-def test_answers(built):
-    got = answers.answer(*built, "Why was the data science minor approved?")
+def test_answers(built, ready):
+    got = answers.answer(*built, "Why was the data science minor approved?", prepared=ready)
     lines = got.text.splitlines()
     assert lines[0] == answers.RULES_NOTICE and lines[1] == "Decision: data science minor (status: approved)" and lines[2].startswith("  1. 2024-03-05 | APPROVED | ") and lines[2].endswith("]")
     assert got.sufficient and got.mode == "rules" and not got.model_used and got.steps.count() == 6
     labels = [r.label for r in got.sources.collect()]
     assert labels == [f"S{i + 1}" for i in range(len(labels))]
-    no = answers.answer(*built, "What about the swimming pool?")
+    no = answers.answer(*built, "What about the swimming pool?", prepared=ready)
     assert not no.sufficient and no.text.startswith(answers.INSUFFICIENT) and "pool" in no.text
     assert answers.answer(*built, " ").text.endswith("(empty question)")
 
 
-def test_answers_by_a_model(built):
+def test_answers_by_a_model(built, ready):
     class Model:
         name = "m"
 
@@ -120,7 +123,7 @@ def test_answers_by_a_model(built):
                 raise self.said
             return self.said
 
-    ask = lambda said: answers.answer(*built, "Why was the bus rejected?", model=Model(said))
+    ask = lambda said: answers.answer(*built, "Why was the bus rejected?", model=Model(said), prepared=ready)
     good = ask({"answer": "Costs [S1].", "used_sources": "[s1]"})
     assert good.model_used and good.text == "Costs [S1]." and [r.label for r in good.sources.collect()] == ["S1"]
     loose = ask({"answer": "Costs.", "used_sources": ["S99"]})
@@ -163,5 +166,6 @@ def test_history(spark, built):
     """A decision that follows another up is shown with it if the history is asked for."""
     n, f = built
     more = f.unionByName(spark.createDataFrame([("DECISION:new hostel plan", "DECISION:purchase of a bus", "FOLLOWS_UP", None, [])], f.schema))
-    assert names(question.retrieve(n, more, "What is the history of the bus?")) == ["purchase of a bus", "new hostel plan"]
-    assert names(question.retrieve(n, more, "What about the bus?")) == ["purchase of a bus"]
+    both = question.prepare(n, more)
+    assert names(question.retrieve(n, more, "What is the history of the bus?", prepared=both)) == ["purchase of a bus", "new hostel plan"]
+    assert names(question.retrieve(n, more, "What about the bus?", prepared=both)) == ["purchase of a bus"]
