@@ -1,4 +1,3 @@
-import datetime
 import json
 import os
 
@@ -61,12 +60,8 @@ def test_paths_and_neighbors(built):
 
 def test_questions(built):
     why = question.answer(*built, "Why was the data science minor approved?").collect()
-    assert {r.decision for r in why} == {"data science minor"} and all(r.sufficient for r in why)
-    assert {r.decision for r in question.answer(*built, "What was decided on 20 March 2024?").collect()} == {"purchase of a bus"}
+    assert {r.decision for r in why} == {"data science minor"} and all(r.sufficient for r in why) and any("because" in e for r in why for e in r.evidence)
     assert question.answer(*built, "What happened on 30 February 2024?").count() == 0
-    assert question.parse("between April 2024 and March 2024").error
-    assert question.parse("from 2023 to March 2024").spans == [(datetime.date(2023, 1, 1), datetime.date(2024, 3, 31))]
-    assert question.cited(question.answer(*built, "data science minor")).where("label = 'S1'").count() == 1
 
 
 def test_empty_graph(spark, built):
@@ -99,14 +94,7 @@ def test_stream_and_files(spark, tmp_path):
     os.makedirs(tmp_path / "f")
     (tmp_path / "f" / "x.txt").write_bytes("né\xff".encode("latin-1") + b"ok")
     (tmp_path / "f" / "y.bin").write_bytes(b"no")
-    assert [r.filename for r in files.load(spark, str(tmp_path / "f")).collect()] == ["x.txt"]
-
-
-def test_trail_text(built):
-    answered = question.answer(*built, "Why was the data science minor approved?")
-    said = [r.text for r in question.trail_text(answered, trails.trails(*built)).collect()]
-    assert said and all(t.startswith("Decision: ") and "(status: " in t.split("\n")[0] and "\n  1. " in t for t in said)
-    assert any("[S1" in t for t in said)
+    assert {r.filename: r.text for r in files.load(spark, str(tmp_path / "f")).collect()} == {"x.txt": "nok", "y.bin": None}
 
 
 def test_graph_from_documents(spark):

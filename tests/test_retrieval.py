@@ -8,6 +8,8 @@ from mnemora.operators import decisions, extraction, graph, trails
 from mnemora.plans import answers, question
 from mnemora.sources import files
 
+FACTS = f"source_id string, target_id string, relation string, date_iso string, provenance array<{extraction.PROVENANCE}>"
+
 
 @pytest.fixture(scope="module")
 def built(spark, tmp_path_factory):
@@ -141,8 +143,8 @@ def test_events_links_related(spark, built, own):
     assert ("DECISION:data science minor", "DUE", "2024-04-30") in got and ("DECISION:data science minor", "MEETING", "2024-03-05") in got and ("DECISION:purchase of a bus", "REJECTED", "2024-03-20") in got
     linked = {tuple(r) for r in decisions.links(n, f).collect()}
     assert {("DECISION:data science minor", e) for e in ("PERSON:ben cole", "COMMITTEE:academic council", "ORGANIZATION:green valley college", "DEPARTMENT:registrar department", "MEETING:academic council meeting on 5 march 2024")} <= linked
-    more = f.limit(0).unionByName(spark.createDataFrame([("DECISION:a", "DECISION:b", "FOLLOWS_UP", None, []), ("DECISION:a", "ACTION:x", "LED_TO", None, []), ("DECISION:c", "ACTION:x", "LED_TO", None, [])], f.schema))
-    nodes = n.limit(0).unionByName(spark.createDataFrame([(f"DECISION:{x}", x, "DECISION", [], None, None, False, []) for x in "abc"], n.select("id", "name", "type", "aliases", "date_iso", "description", "source_document", "provenance").schema).select(n.columns))
+    more = spark.createDataFrame([("DECISION:a", "DECISION:b", "FOLLOWS_UP", None, []), ("DECISION:a", "ACTION:x", "LED_TO", None, []), ("DECISION:c", "ACTION:x", "LED_TO", None, [])], FACTS)
+    nodes = spark.createDataFrame([(f"DECISION:{x}", x, "DECISION", False) for x in "abc"], "id string, name string, type string, source_document boolean")
     some = spark.createDataFrame([("DECISION:a",), ("DECISION:b",)], "decision_id string")
     assert {tuple(r) for r in decisions.related(nodes, more, some).collect()} == {("DECISION:a", "DECISION:b"), ("DECISION:a", "DECISION:c"), ("DECISION:b", "DECISION:a")}
 
@@ -165,7 +167,7 @@ def test_decisions_by_date(built, own):
 def test_history(spark, built):
     """A decision that follows another up is shown with it if the history is asked for."""
     n, f = built
-    more = f.unionByName(spark.createDataFrame([("DECISION:new hostel plan", "DECISION:purchase of a bus", "FOLLOWS_UP", None, [])], f.schema))
+    more = f.unionByName(spark.createDataFrame([("DECISION:new hostel plan", "DECISION:purchase of a bus", "FOLLOWS_UP", None, [])], FACTS))
     both = question.prepare(n, more)
     assert names(question.retrieve(n, more, "What is the history of the bus?", prepared=both)) == ["purchase of a bus", "new hostel plan"]
     assert names(question.retrieve(n, more, "What about the bus?", prepared=both)) == ["purchase of a bus"]
