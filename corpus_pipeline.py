@@ -1,4 +1,8 @@
-"""The training-data pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""The training-data pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Defined cases: null texts are empty; rows with one id are one document, so what is decided for one of them holds for all; rows
+without an id can't be named by a decision and stay; an empty table passes through all stages; further columns stay until the last.
+"""
 
 from __future__ import annotations
 

@@ -8,7 +8,8 @@ The benchmark is cut in blocks of bounded size (``block_chars``); each block's a
 all documents once per block. Documents are never shuffled.
 
 Defined cases: null texts are empty; an item without words matches nothing; items with the same words all match; an item of
-few words (e = 0) matches only where all its words follow each other.
+few words (e = 0) matches only where all its words follow each other; null and repeated ids have their rows each; an empty table
+on either side gives an empty result; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import staged, texts
 
 WORD = re.compile(r"\w+")
 
@@ -116,5 +117,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 15, id_col: str
                 if found:
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32())], names=["doc_id", "item_id", "distance", "end_word"])
 
-        out.append(docs.mapInArrow(run, f"doc_id {id_type}, item_id bigint, distance int, end_word int"))
+        found = docs.mapInArrow(run, f"doc_id {id_type}, item_id bigint, distance int, end_word int")
+        out.append(found if n == 1 else staged(found, "leaks"))  # so that the driver holds one block at a time
+        del block, run
     return reduce(DataFrame.unionByName, out)

@@ -8,7 +8,8 @@ overlapping ones the best. Runs are cut between groups of digits only: a card gl
 examples, and run as one SQL expression. Everything happens within a row: no shuffle.
 
 Positions come from the lengths of what lies between the matches. Defined cases: null text is empty; very long texts are
-searched whole; spans are code points, end exclusive, ordered by start and then kind as listed in ``KINDS``.
+searched whole; spans are code points, end exclusive, ordered by start and then kind as listed in ``KINDS``; null and repeated ids
+have their rows each; an empty table gives an empty result; further columns aren't read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ the chunks' maxima and their mean are combined by a logistic layer into one prob
 bounded sample of labelled rows (``per_class`` of each class), and scores whole texts in one pass without a shuffle.
 
 Defined cases: null text is empty; the empty text is scored as one chunk of zero bytes; without labelled rows of both classes
-every score is the sample's share of label 1 (0.5 without any).
+every score is the sample's share of label 1 (0.5 without any); null and repeated ids are scored row by row, and count as the empty
+text for the fold; an empty table gives an empty result; further columns aren't read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ Equal sets are one node. In a group of nodes that share a signature, all are com
 nodes of one group that the links found so far don't connect are compared. Comparisons are exact, on 64-bit shingle hashes.
 
 Defined cases: null and blank texts have the empty set and no links; texts of fewer words have one shingle, the whole
-sequence; equal rows are copies; the component is the least id reachable.
+sequence; equal rows are copies, with a row each in the result; the component is the least id reachable, null ids counting for
+nothing unless a group has no other; an empty table gives an empty result; further columns aren't read. Links are transitive, so a
+component may hold texts that are unlike each other.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ toxic by what it contains, however much harmless text surrounds it, so weights a
 l1 penalty): harmless words add nothing, and long texts aren't washed clean. The risk is that of Kiryo et al. (2017): prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), where ``prior`` is the share of toxic rows
 among the labelled ones outside the held-out fold; where the second term goes below zero, its gradient is reversed.
 
-Defined cases: null text is empty and scores as the bias alone; without toxic or unlabelled texts every score is the prior.
+Defined cases: null text is empty and scores as the bias alone; without toxic or unlabelled texts every score is the prior; null
+and repeated ids are scored row by row; very long texts count each of their words once; an empty table gives an empty result;
+further columns aren't read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ a Parquet table in the shared folder, so that Spark alone does the input and out
 
 Of records with equal payloads of at least ``least`` bytes, the one with the largest id is kept as ``response`` and the
 others are ``revisit`` records that refer to it. Defined cases: a null payload is empty; a null id is allowed and sorts
-below all others; repeated rows are records of their own, the copy that comes first in a stable order staying a response.
+below all others; repeated rows are records of their own, and all rows with the largest id of a group are responses; very long
+payloads make a frame of their own; an empty table makes no bundle; further columns aren't read.
 """
 
 from __future__ import annotations
