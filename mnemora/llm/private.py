@@ -71,10 +71,13 @@ def matches(text: Column, pattern: str) -> Column:
         moved = lambda x, by: F.transform(x["out"], lambda m: F.struct(m["m"].alias("m"), (m["start"] + by).alias("start"), (m["end"] + by).alias("end")))
         return F.flatten(F.zip_with(blocks, sums, moved))
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())  # what follows the last match has none
-    return F.get(F.transform(F.array(pairs), lambda ps: F.when(F.size(ps) > 0, walked(ps)).otherwise(empty)), F.lit(0))
+    def paired(found: Column) -> Column:
+        pairs = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+        return F.filter(pairs, lambda x: x["m"].isNotNull())  # what follows the last match has none
+
+    # Arrays of one bind what is used several times; a text without matches, as most are, is searched once and split never.
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, once(paired(found), walked)).otherwise(empty))
 
 
 def candidates(text: Column, kind: str) -> Column:
