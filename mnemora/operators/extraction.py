@@ -158,3 +158,15 @@ def extract(documents: DataFrame, limit: int = 1500) -> tuple[DataFrame, DataFra
     known = nodes.select("id")
     facts = facts.join(known.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(known.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     return nodes.withColumn("aliases", F.array_except("aliases", F.array("name"))), facts
+
+
+def union(nodes: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graphs that were extracted apart, laid together (``nodes`` and ``facts`` of all of them), as one: an entity of several is one
+    node with the longest name, all others as aliases and every sentence once."""
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    one = nodes.groupBy("id", "type").agg(
+        F.max_by("name", F.struct(F.char_length("name"), "name")).alias("name"), F.array_distinct(F.concat(every("aliases"), F.array_sort(F.collect_set("name")))).alias("aliases"), F.max("date_iso").alias("date_iso"),
+        F.max("description").alias("description"), F.bool_and("source_document").alias("source_document"), every("provenance").alias("provenance"),
+    )
+    facts = facts.groupBy("source_id", "target_id", "relation", "date_iso").agg(every("provenance").alias("provenance"))
+    return one.withColumn("aliases", F.array_except("aliases", F.array("name"))), facts

@@ -144,7 +144,7 @@ def find_path(edges: DataFrame, source: str, target: str, max_length: int = 6) -
     seen = front.select("node")
     for _ in range(max_length):
         step = front.join(edges, front["node"] == edges["a"]).select(F.col("b").alias("node"), F.array_append("path", F.col("b")).alias("path"))
-        front = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+        front = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")).persist()  # each hop is worked out once
         if found := front.where(F.col("node") == target).select("path").take(1):
             return list(found[0][0])
         seen = seen.unionByName(front.select("node"))

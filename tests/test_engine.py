@@ -90,7 +90,12 @@ def test_stream_and_files(spark, tmp_path):
     os.makedirs(tmp_path / "in")
     (tmp_path / "in" / "d.json").write_text(json.dumps({"document_id": "D3", "filename": "c", "text": DOCS[2][3]}))
     ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out/nodes")).where("type = 'DECISION'").count() == 1
+    (tmp_path / "in" / "e.json").write_text(json.dumps({"document_id": "D9", "filename": "e", "text": DOCS[2][3]}))
+    ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/nodes")).where("type = 'DECISION'").count() == 2
+    nodes, facts = ingest.graph(spark, str(tmp_path / "out"))
+    one = nodes.where("type = 'DECISION'").collect()
+    assert len(one) == 1 and one[0].aliases == [] and {p.document_id for p in one[0].provenance} == {"D3", "D9"} and facts.where("relation = 'REJECTED_BY'").count() == 1
     os.makedirs(tmp_path / "f")
     (tmp_path / "f" / "x.txt").write_bytes("né\xff".encode("latin-1") + b"ok")
     (tmp_path / "f" / "y.bin").write_bytes(b"no")
