@@ -62,19 +62,19 @@ def _marked(digest: Column, place: Column) -> Column:
 
 
 def _blocked(docs: DataFrame, block: int) -> tuple[DataFrame, int, int]:
-    """(rows, least and greatest block): rows have block, doc_id, order, text. Null ids stand below all others, in blocks of their own
+    """(rows, least and greatest block): rows have block, doc_id, text. Null ids stand below all others, in blocks of their own
     by a hash of their text, so that they share no block but with equal texts. Without null ids no text is read for it."""
     low, high, nulls = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")) if nulls else F.col("doc_id").cast("bigint")
     at = F.floor(order / block) + F.when(F.col("doc_id").isNull(), F.lit(_LEAST)).otherwise(F.lit(0))
     low = _LEAST - 2**63 // block if nulls else int(low or 0) // block - 1
     high = int(high) // block + 1 if high is not None else _LEAST + 2**63 // block
-    return docs.select(at.alias("block"), "doc_id", order.alias("order"), "text").repartition("block"), low, high
+    return docs.select(at.alias("block"), "doc_id", "text"), low, high
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, digest=wide_digest) -> DataFrame:
     """doc_id, fingerprint of every row."""
-    base = _blocked(texts(docs, id_col, text_col), block)[0]
+    base = _blocked(texts(docs, id_col, text_col), block)[0].repartition("block")
     rows = base.withColumn("key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("t")))
     found = rows.select("doc_id", canonical(F.col("text")).alias("canon"))
     found = found.select("doc_id", digest(F.col("canon")).alias("digest"), F.sha2("canon", 256).alias("canon_sha"))
@@ -99,11 +99,12 @@ def _next_blocks(blocks: DataFrame, low: int, high: int) -> DataFrame:
 
 def with_next(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """block, doc_id, text, at, next_text: each document with the next one's text, by descending id; after the last, the first."""
-    base, low, high = _blocked(docs, block)
-    w = Window.partitionBy("block").orderBy(F.desc("order"), F.desc("text"))
+    placed, low, high = _blocked(docs, block)
+    base = placed.repartition("block")  # read several times, but moved once: all need the same columns
+    w = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.desc(F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.desc("text"))
     chained = base.select("*", F.lead("text").over(w).alias("follows"), F.row_number().over(w).alias("at"))
     heads = chained.where("at = 1").select(F.col("block").alias("next_block"), F.col("text").alias("head"))
-    blocks = base.select("block").distinct()
+    blocks = placed.select("block").distinct()
     heads = _next_blocks(blocks, low, high).join(heads, "next_block").select("block", "head")
     return chained.join(heads, "block").select("block", "doc_id", "text", "at", F.coalesce("follows", "head").alias("next_text"))
 
